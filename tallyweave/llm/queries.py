@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.components import merged_groups
 from tallyweave.llm.leaks import find_leaks
+from tallyweave.llm.packing import pack_texts
 from tallyweave.llm.pii import find_personal_information, redact_personal_information
 from tallyweave.llm.survivorship import record_survivors, target_survivors
 from tallyweave.llm.topn import top_n
@@ -37,6 +38,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_records.unionByName(of_targets)
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_texts(_read(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p7_packed": p7_packed,
     "p8_found": p8_found,
     "p9_found": p9_found,
     "p9_redacted": p9_redacted,
