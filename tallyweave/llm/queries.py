@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.components import merged_groups
 from tallyweave.llm.leaks import find_leaks
+from tallyweave.llm.matching import found_pairs, match_records
 from tallyweave.llm.packing import pack_texts
 from tallyweave.llm.pii import find_personal_information, redact_personal_information
 from tallyweave.llm.survivorship import record_survivors, target_survivors
@@ -17,6 +18,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_pairs(match_records(_read(spark, sf_dir, "records")).groups)
+
+
+def p1_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate pair with the probability that the two records are one company."""
+    pairs = match_records(_read(spark, sf_dir, "records")).pairs
+    return pairs.select(F.col("a").alias("record_a"), F.col("b").alias("record_b"), F.round("posterior", 6).alias("posterior"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = _read(spark, sf_dir, "targets")
     latest = F.max(F.struct("scored_at", "target_id", "composite", F.upper(F.trim("state")).alias("state"), F.lower(F.trim("segment")).alias("segment")))
@@ -56,6 +67,8 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_posteriors": p1_posteriors,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
