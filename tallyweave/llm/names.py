@@ -84,6 +84,10 @@ GIVEN_SHORT = {
     "william": "bill will billy willie wm",
 }
 _GIVEN = frozenset(GIVEN_SHORT) | frozenset(s for short in GIVEN_SHORT.values() for s in short.split())
+_INITIALS: dict[str, str] = {}
+for _full, _short in GIVEN_SHORT.items():
+    for _word in (_full, *_short.split()):
+        _INITIALS[_word] = "".join(sorted({*_INITIALS.get(_word, ""), _full[0]}))
 _LOOKALIKE = str.maketrans("013458", "oleash")
 _DBA = re.compile(r"(?:\s*[,;])?\s+(?:d\s?/\s?b\s?/\s?a|d\.b\.a\.?|dba|doing business as|a/k/a|a\.k\.a\.?|aka|t/a|trading as)\.?:?\s+", re.I)
 _ALIAS = re.compile(r"\s*\(([^()]*)\)\s*\Z")
@@ -179,20 +183,22 @@ def token_class(t: str) -> tuple[int, int]:
 
 
 class Parsed(NamedTuple):
-    """Own words in order, trade family (0 unknown), whether a holding word stands in it."""
+    """Own words in order, trade family (0 unknown), whether a holding word stands in it, initials of given names."""
 
     own: tuple[str, ...]
     family: int
     holding: bool
+    initials: str
 
 
-_NONE = Parsed((), 0, False)
+_NONE = Parsed((), 0, False, "")
 
 
 def parse_part(text: str) -> Parsed:
     """One printed name without a trading-name wording."""
     words = _TOKEN.findall(text.replace("'s ", " ").replace("'", "").replace(".", " ") if "'" in text or "." in text else text)
     own: list[str] = []
+    initials: set[str] = set()
     family, holding, i = 0, False, 0
     while i < len(words):
         t = words[i]
@@ -215,9 +221,13 @@ def parse_part(text: str) -> Parsed:
         kind, fam = token_class(t)
         if kind == OWN:
             own.append(t)
+        elif kind == GIVEN:
+            initials.update(_INITIALS.get(t, t[0]))
+        elif len(t) == 1 and t not in "fs":
+            initials.add(t)
         elif fam > family:
             family = fam
-    return Parsed(tuple(own), family, holding)
+    return Parsed(tuple(own), family, holding, "".join(sorted(initials)))
 
 
 def parse_name(name: str | None, dba: str | None = None) -> tuple[Parsed, Parsed]:
@@ -267,7 +277,7 @@ def ordered(own: tuple[str, ...]) -> tuple[str, str]:
 
 def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, fam, hold = [], [], [], []
+        a, b, fam, hold, ini = [], [], [], [], []
         for name, dba in zip(batch.column("name").to_pylist(), batch.column("dba").to_pylist()):
             trading, legal = parse_name(name, dba)
             x, y = ordered(trading.own)
@@ -275,17 +285,18 @@ def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b.append(y)
             fam.append(trading.family)
             hold.append(" ".join(sorted(legal.own)) or None)
+            ini.append(trading.initials)
         keep = [i for i, n in enumerate(batch.schema.names) if n not in ("name", "dba")]
-        cols = [batch.column(i) for i in keep] + [pa.array(a), pa.array(b), pa.array(fam, pa.int8()), pa.array(hold, pa.string())]
-        yield pa.RecordBatch.from_arrays(cols, [batch.schema.names[i] for i in keep] + ["w1", "w2", "fam", "hold"])
+        cols = [batch.column(i) for i in keep] + [pa.array(a), pa.array(b), pa.array(fam, pa.int8()), pa.array(hold, pa.string()), pa.array(ini, pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, [batch.schema.names[i] for i in keep] + ["w1", "w2", "fam", "hold", "ini"])
 
 
 def parsed_records(records: DataFrame) -> DataFrame:
-    """``rid, feed, state, zip5, phone, host, w1, w2, fam, hold`` of every record row.
+    """``rid, feed, state, zip5, phone, host, w1, w2, fam, hold, ini`` of every record row.
 
     ``w1, w2`` are the name's own words (empty for a stand-in, a blank or a generic
     name), ``fam`` its trade family (0 unknown), ``hold`` the words of a holding
-    company. Null or unusable fields are null.
+    company, ``ini`` the initials of given names in full or short form. Null or unusable fields are null.
     """
     rows = records.select(
         F.col("record_id").alias("rid"),
@@ -297,7 +308,13 @@ def parsed_records(records: DataFrame) -> DataFrame:
         "name",
         "dba",
     )
-    return rows.mapInArrow(_parsed, "rid string, feed string, state string, zip5 string, phone string, host string, w1 string, w2 string, fam byte, hold string")
+    return rows.mapInArrow(_parsed, "rid string, feed string, state string, zip5 string, phone string, host string, w1 string, w2 string, fam byte, hold string, ini string")
+
+
+def parsed_spellings(spellings: DataFrame) -> DataFrame:
+    """``rid, w1, w2, fam, ini`` of typed names (``rid, name``)."""
+    rows = spellings.select("rid", "name", F.lit(None).cast("string").alias("dba"))
+    return rows.mapInArrow(_parsed, "rid string, w1 string, w2 string, fam byte, hold string, ini string").drop("hold")
 
 
 def name_likeness(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:

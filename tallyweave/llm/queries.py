@@ -12,6 +12,7 @@ from tallyweave.llm.packing import pack_texts
 from tallyweave.llm.pii import find_personal_information, redact_personal_information
 from tallyweave.llm.survivorship import record_survivors, target_survivors
 from tallyweave.llm.topn import top_n
+from tallyweave.llm.variants import found_variants, link_spellings
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_records.unionByName(of_targets)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue = _read(spark, sf_dir, "review_queue")
+    return found_variants(link_spellings(_read(spark, sf_dir, "records"), queue), queue)
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(_read(spark, sf_dir, "documents"))
 
@@ -72,6 +78,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p6_found": p6_found,
     "p7_packed": p7_packed,
     "p8_found": p8_found,
     "p9_found": p9_found,
