@@ -7,12 +7,13 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tallyweave.functions.tokens import c
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def erf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else math.erf(v)).astype("float64")
 

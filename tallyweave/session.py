@@ -52,6 +52,9 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     executor. Being Parquet, later reads fetch only the columns they need.
     """
     spark = df.sparkSession
+    # Spark 4.1 may combine the partitionings of union branches that adaptive execution has coalesced to
+    # different numbers, and then refuses the plan ("PartitioningCollection requires ...").
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
