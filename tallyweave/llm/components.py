@@ -1,7 +1,7 @@
 """Connected components of a graph given as pairs.
 
-Every edge partition runs union-find over its own edges and keeps a spanning
-forest, at most one edge per node it saw. Forests are merged level by level:
+Every edge partition, as it lies, runs union-find over its own edges and keeps a
+spanning forest, at most one edge per node it saw. Forests are merged level by level:
 partitions are joined in fours and thinned again while a merged partition stays
 under a bound. When the forest has fitted into one bounded partition, its roots
 are the components. A forest too large for that is finished by star contraction,
@@ -50,9 +50,9 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 65536], pa.string()), pa.array(roots[i : i + 65536], pa.string())], ["u", "v"])
 
 
-def _thin(edges: DataFrame, parts: int, label: str) -> DataFrame:
-    """Spread edges over ``parts`` tasks (same pair, same task) and keep their spanning forests."""
-    spread = edges.repartition(parts, "v") if parts > 1 else edges.coalesce(1)
+def _thin(edges: DataFrame, parts: int | None, label: str) -> DataFrame:
+    """Spanning forests of the edge partitions: as they lie, or joined into ``parts``."""
+    spread = edges if parts is None else edges.repartition(parts, "v") if parts > 1 else edges.coalesce(1)
     return cut(spread.mapInArrow(_forest, "u string, v string"), label)
 
 
@@ -90,7 +90,7 @@ def components(pairs: DataFrame, a: str, b: str, edges_per_task: int = EDGES_PER
     edges = pairs.select(F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y"))
     edges = edges.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
     width = shuffle_width(spark)
-    forest = _thin(edges, width, "forest")
+    forest = _thin(edges, None, "forest")
     left = forest.count()
     while width > 1 and left <= edges_per_task * max(1, width // FAN_IN):
         width = max(1, width // FAN_IN)
