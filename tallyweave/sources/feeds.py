@@ -116,7 +116,7 @@ def licence_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decisions(df: DataFrame) -> DataFrame:
-    """``record_a, record_b, decision``: merge and reject only, trimmed and lower case; the last of several on one pair stands.
+    """``record_a, record_b, decision``: merge and reject only, trimmed and lower case; the last of several on one pair stands. Rows with a null side are left out.
 
     Rows are in the order of ``seq`` where there is one, else in reading order.
     """
@@ -124,8 +124,9 @@ def decisions(df: DataFrame) -> DataFrame:
     if missing:
         raise SpecError(f"decisions need {', '.join(missing)}")
     at = F.col("seq") if "seq" in df.columns else F.monotonically_increasing_id()
-    rows = df.select(F.least("record_a", "record_b").alias("record_a"), F.greatest("record_a", "record_b").alias("record_b"), F.lower(F.trim("decision")).alias("decision"), at.alias("at"))
-    rows = rows.where("record_a IS NOT NULL AND record_b IS NOT NULL AND decision IN ('merge', 'reject')")
+    sides = df.where("record_a IS NOT NULL AND record_b IS NOT NULL")
+    rows = sides.select(F.least("record_a", "record_b").alias("record_a"), F.greatest("record_a", "record_b").alias("record_b"), F.lower(F.trim("decision")).alias("decision"), at.alias("at"))
+    rows = rows.where("decision IN ('merge', 'reject')")
     return rows.groupBy("record_a", "record_b").agg(F.max(F.struct("at", "decision"))["decision"].alias("decision"))
 
 
