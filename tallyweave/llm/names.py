@@ -317,23 +317,30 @@ def parsed_spellings(spellings: DataFrame) -> DataFrame:
     return rows.mapInArrow(_parsed, "rid string, w1 string, w2 string, fam byte, hold string, ini string").drop("hold")
 
 
+MOST_CHANGES = 6  # words with more letters to change are wholly unlike
+
+
 def name_likeness(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     """1 less the share of letters to change, in full for the word that differs more, by half for the other.
 
     Words are taken in either order. Words run together are compared as a whole,
-    where a change counts double, as it concerns one of the two words.
+    where a change counts double, as it concerns one of the two words. More than
+    ``MOST_CHANGES`` changes count as a share of 1, which keeps the distance to a band.
     """
 
     def off(x: Column, y: Column) -> Column:
-        return F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
+        changes = F.levenshtein(x, y, MOST_CHANGES)
+        return F.when(x == y, F.lit(0.0)).otherwise(F.when(changes < 0, F.lit(1.0)).otherwise(changes / F.greatest(F.length(x), F.length(y), F.lit(1))))
+
+    def two(x: tuple[Column, Column], y: tuple[Column, Column]) -> Column:
+        # once each, then combined: the two shares are array items, not repeated expressions
+        shares = F.sort_array(F.array(off(*x), off(*y)))
+        return F.aggregate(shares, F.lit(0.0), lambda acc, v: v + F.lit(0.5) * acc)
 
     def whole(x: Column, y: Column) -> Column:
         return F.lit(2.0) * off(x, y)
 
-    def two(p: Column, q: Column) -> Column:
-        return F.greatest(p, q) + F.lit(0.5) * F.least(p, q)
-
-    words = F.least(two(off(a1, b1), off(a2, b2)), two(off(a1, b2), off(a2, b1)))
+    words = F.least(two((a1, b1), (a2, b2)), two((a1, b2), (a2, b1)))
     ab, ba, cd, dc = F.concat(a1, a2), F.concat(a2, a1), F.concat(b1, b2), F.concat(b2, b1)
     joined = F.least(whole(ab, cd), whole(ab, dc), whole(ba, cd))
     differ = F.when((a1 == b1) & (a2 == b2), F.lit(0.0)).when((a2 == "") | (b2 == ""), joined).otherwise(words)
