@@ -41,6 +41,25 @@ def bounded_pairs(rows: DataFrame, key: str, fields: Sequence[str]) -> DataFrame
     return first.select("a", F.explode(F.expr("slice(_m, _i + 2, size(_m))")).alias("b"))
 
 
+def whole_pairs(rows: DataFrame, key: str, fields: Sequence[str], most: int = MOST_IN_BLOCK) -> DataFrame:
+    """``a, b`` structs of ``fields`` for every pair of rows with the same ``key``; the first field orders the two.
+
+    Blocks of more than ``most`` rows are dealt into parts of about that size, and
+    each part is joined with itself and with every other, so that no task holds a
+    larger block and no pair is left out. Null keys give none.
+    """
+    some = rows.where(F.col(key).isNotNull())
+    big = sendable(heavy(some, key, most))
+    pairs = bounded_pairs(some.join(big, key, "left_anti"), key, fields)
+    large = cut(some.join(big, key, "left_semi").select(F.col(key).alias("_k"), F.struct(*fields).alias("_r")), "large-blocks")
+    sizes = sendable(large.groupBy("_k").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_n")))
+    dealt = large.join(sizes, "_k").withColumn("_p", F.pmod(F.xxhash64(f"_r.{fields[0]}"), F.col("_n")).cast("int"))
+    one = dealt.select("_k", F.col("_r").alias("a"), F.col("_p").alias("_i"), F.explode(F.sequence(F.col("_p"), F.col("_n") - 1)).alias("_j"))
+    two = dealt.select("_k", F.col("_r").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_p"))).alias("_i"), F.col("_p").alias("_j"))
+    met = one.join(two, ["_k", "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col(f"a.{fields[0]}") < F.col(f"b.{fields[0]}")))
+    return pairs.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def block_pairs(rows: DataFrame, key: str, fields: Sequence[str], finer: Column | None = None, most: int = MOST_IN_BLOCK) -> DataFrame:
     """``a, b`` structs of ``fields`` for pairs of rows with the same ``key``; the first field orders the two.
 
