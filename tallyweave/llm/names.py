@@ -347,6 +347,49 @@ def name_likeness(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     return F.greatest(F.lit(1.0) - differ, F.lit(0.0))
 
 
+def _less(w: Column) -> Column:
+    """A word with each of its letters left out."""
+    return F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+
+
+def _word_keys(w: Column) -> Column:
+    """The word, and with one letter left out, and from ten letters on with two.
+
+    Words of up to nine letters that differ by a share of 0.2133 differ by one
+    change, from ten letters on by two, from 15 on by three.
+    """
+    once = F.concat(F.array(w), _less(w))
+    return F.when(F.length(w) < 10, once).otherwise(F.concat(once, F.flatten(F.transform(_less(w), _less))))
+
+
+def meeting_keys(w1: Column, w2: Column) -> Column:
+    """Keys of which two spellings of likeness 0.68 or more share at least one.
+
+    Of two and two words the closer pair differs by a share of 0.2133 at most (its
+    half counts on top of the other's larger share), so left-out letters make it
+    meet. Words run together differ by 0.16 of their length, so up to 24 letters by
+    three changes, and one of their two parts has one change at most: a single word
+    has the keys of all its starts and ends of four letters or more, and two single
+    words meet by those of their first or last five letters (eight from 16 on).
+    Not guaranteed: closer words of 15 letters or more with over two changes, words
+    run together of 25 letters or more with over three.
+    """
+
+    def part(tag: str, s: Column) -> Column:
+        return F.transform(F.concat(F.array(s), _less(s)), lambda x: F.concat(F.lit(tag), x))
+
+    n = F.length(w1)
+    cuts = F.when(n >= 8, F.sequence(F.lit(4), n - 4)).otherwise(F.array().cast("array<int>"))
+    starts = F.flatten(F.transform(cuts, lambda i: part("", F.substring(w1, F.lit(1), i))))
+    ends = F.flatten(F.transform(cuts, lambda i: part("", F.substring(w1, n - i + 1, i))))
+
+    def halves(h: int) -> Column:
+        return F.concat(part(f"{h}^", F.substring(w1, 1, h)), part(f"{h}$", F.substring(w1, -h, h)))
+
+    single = F.concat(F.when(n <= 18, halves(5)).otherwise(F.array().cast("array<string>")), F.when(n >= 16, halves(8)).otherwise(F.array().cast("array<string>")), F.concat(F.array(w1), _less(w1)), starts, ends)
+    return F.array_distinct(F.transform(F.when(w2 == "", single).otherwise(F.concat(_word_keys(w1), _word_keys(w2))), lambda k: F.xxhash64(k)))
+
+
 def name_keys(w1: Column, w2: Column) -> Column:
     """Blocking keys: one word whole with the start of the other, or the two outer ends of the words run together."""
     whole = F.array(F.concat(w1, F.lit("~"), F.substring(w2, 1, 2)), F.concat(w2, F.lit("~"), F.substring(w1, 1, 2)))
