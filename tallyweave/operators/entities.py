@@ -103,15 +103,20 @@ def canonical(records: DataFrame, prepared: DataFrame, members: DataFrame, trust
 def cohesion(prepared: DataFrame, members: DataFrame, spec: Linkage = Linkage(), most: int = 60) -> DataFrame:
     """``company_id, weakest``: the lowest name score inside each company of three or more.
 
-    A company of more than ``most`` records is measured by each record against its
-    smallest record, so work stays linear there.
+    Every pair of a company counts; repeated variant lists are scored once. Companies
+    of more than ``most`` lists are dealt into parts of about that size, and each part
+    is joined with itself and with every other, so no task holds a larger company.
     """
     rows = prepared.select("record_id", "variants").join(members, "record_id")
-    sizes = rows.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("head")).where("n >= 3")
-    rows = rows.join(sizes, "company_id")
-    x = rows.select("company_id", F.col("record_id").alias("a"), F.col("variants").alias("va"))
-    y = rows.select("company_id", F.col("record_id").alias("b"), F.col("variants").alias("vb"), "n", "head")
-    pairs = x.join(y, "company_id").where((F.col("a") < F.col("b")) & ((F.col("n") <= most) | (F.col("a") == F.col("head"))))
+    sizes = rows.groupBy("company_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("company_id")
+    lists = cut(rows.join(sizes, "company_id").groupBy("company_id", "variants").agg(F.count(F.lit(1)).alias("k")), "variant-lists")
+    parts = lists.groupBy("company_id").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_n"))
+    dealt = lists.join(parts, "company_id").withColumn("_p", F.pmod(F.xxhash64("variants"), F.col("_n")).cast("int"))
+    x = dealt.select("company_id", F.col("variants").alias("va"), "k", F.col("_p").alias("_i"), F.explode(F.sequence(F.col("_p"), F.col("_n") - 1)).alias("_j"))
+    y = dealt.select("company_id", F.col("variants").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("_p"))).alias("_i"), F.col("_p").alias("_j"))
+    # a list on several records meets itself
+    pairs = x.join(y, ["company_id", "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("va") < F.col("vb")) | ((F.col("va") == F.col("vb")) & (F.col("k") > 1)))
+    pairs = pairs.select("company_id", F.least("va", "vb").alias("va"), F.greatest("va", "vb").alias("vb"))
     names = pairs.select("va", "vb").distinct().withColumn("s", best_name_udf(spec.generic, spec.slack)(F.col("va"), F.col("vb"))["score"])
     return pairs.join(names, ["va", "vb"]).groupBy("company_id").agg(F.min("s").alias("weakest"))
 

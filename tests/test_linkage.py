@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave.functions.similarity import best_name_score
 from tallyweave.operators import entities, linkage
 from tallyweave.pipeline import resolve, trust_of
 from tallyweave.sources.feeds import RECORD
@@ -92,3 +93,18 @@ def test_cohesion_and_empty_input(spark, messy, resolved):
     assert len(weakest) == 1 and weakest[0].weakest > 90
     empty = messy.limit(0)
     assert linkage.candidate_pairs(linkage.blocks(linkage.prepare(empty, LINK), LINK), LINK).count() == 0
+
+
+def test_cohesion_scores_every_pair_of_a_large_company(spark):
+    # like the smallest record, unlike each other; by brute force, with repeated lists and a company of one list
+    lists = [["alder birch"]] + [[f"alder {w}"] for w in ("quo", "zim")] + [["birch fyxu"]] + [["alder birch"]] * 70
+    rows = [(f"A{k:03}", v, "C1") for k, v in enumerate(lists)] + [(f"B{k}", ["same name"], "C2") for k in range(3)] + [(f"D{k}", [f"w{k}"], "C3") for k in range(2)]
+    rows += [(f"E{k:03}", [f"name {k * 7919 % 1000:03}"], "C4") for k in range(90)]
+    df = spark.createDataFrame(rows, "record_id string, variants array<string>, company_id string")
+    got = {r.company_id: r.weakest for r in entities.cohesion(df.drop("company_id"), df.drop("variants"), LINK).collect()}
+    want = {}
+    for c in ("C1", "C2", "C4"):
+        own = [v for _, v, of in rows if of == c]
+        want[c] = min(best_name_score(a, b, LINK.generic, LINK.slack)[0] for i, a in enumerate(own) for b in own[i + 1 :])
+    assert got == {c: pytest.approx(w) for c, w in want.items()}
+    assert want["C1"] < min(best_name_score(lists[0], b, LINK.generic, LINK.slack)[0] for b in lists[1:])
