@@ -84,7 +84,15 @@ def candidate_pairs(spark, sf_dir):
 
 def pair_order(spark, sf_dir):
     """Pairs of common lines and sites with their place in block-creation order."""
-    keyed = _keyed(spark, sf_dir).where("key LIKE 'phone:%' OR key LIKE 'web:%'")
+    return _ordered(_keyed(spark, sf_dir).where("key LIKE 'phone:%' OR key LIKE 'web:%'"))
+
+
+def pair_order_all(spark, sf_dir):
+    """Pairs of all block keys with their place in block-creation order."""
+    return _ordered(_keyed(spark, sf_dir))
+
+
+def _ordered(keyed):
     return linkage.candidate_pairs(keyed, SPEC.linkage, True).select("a", "b", F.col("at.born.pos").alias("block_pos"), F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"))
 
 
@@ -228,8 +236,7 @@ def presence_lookup(spark, sf_dir):
     members, _ = companies_of(spark, sf_dir)
     r = records(spark, sf_dir)
     prepared = linkage.prepare(r, SPEC.linkage)
-    big = members.groupBy("company_id").count().where("count >= 3").select("company_id")
-    cards = entities.canonical(r, prepared, members.join(big, "company_id"), trust(), SPEC.linkage)
+    cards = entities.canonical(r, prepared, members, trust(), SPEC.linkage)
     listed = r.where(feed_key("source").isin("permit_desk", "insurer_roll", "tip_sheet")).select(feed_key("source").alias("database"), F.col("record_id").alias("listing_id"), "name", "state")
     found = visibility.lookup(cards, listed, SPEC.linkage, SPEC.visibility)
     return found.select("company_id", "database", "found", "score", "listing_id", "query")
@@ -370,7 +377,7 @@ def arrivals_stream(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        normalized_names, name_parts, display_names, contact_keys, block_sizes, contact_pairs, candidate_pairs, pair_order, pair_scores, adjudicated_pairs, review_token_sort, review_name_scores,
+        normalized_names, name_parts, display_names, contact_keys, block_sizes, contact_pairs, candidate_pairs, pair_order, pair_order_all, pair_scores, adjudicated_pairs, review_token_sort, review_name_scores,
         latest_decisions, merge_clusters, cluster_votes, company_cards, cohesion, open_reviews, keyword_hits, document_keywords, sector_fit, record_mix, size_signals, picked_signals, size_ranges,
         lognormal_band, product_fit, money_rounding, presence_lookup, obviousness, presence_agreement, screens, composite_rank, leaders, funnel, feed_counts, pairwise_grade, majority_site,
         calibration, ledger_rows, ledger_violations, ledger_gaps, ledger_spans, arrivals_stream,

@@ -38,3 +38,18 @@ def test_core_does_not_import_the_subpackage():
 def test_entry(spark):
     df = entry.entry(spark)
     assert "score" in df.columns
+
+
+def test_every_company_is_looked_up(spark):
+    from tallyweave.plans import core_queries
+
+    members, _ = core_queries.companies_of(spark, SF)
+    found = entry.queries()["presence_lookup"](spark, SF)
+    per = len(core_queries.SPEC.visibility.databases)
+    assert found.count() == members.select("company_id").distinct().count() * per > 0
+
+
+def test_order_of_all_pairs(spark):
+    found = entry.queries()["pair_order_all"](spark, SF).select("a", "b").collect()
+    pairs = entry.queries()["candidate_pairs"](spark, SF).select("a", "b").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, pairs))
