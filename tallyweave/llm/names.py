@@ -379,7 +379,7 @@ def meeting_keys(w1: Column, w2: Column) -> Column:
         return F.transform(F.concat(F.array(s), _less(s)), lambda x: F.concat(F.lit(tag), x))
 
     n = F.length(w1)
-    cuts = F.when(n >= 8, F.sequence(F.lit(4), n - 4)).otherwise(F.array().cast("array<int>"))
+    cuts = F.when(n >= 5, F.sequence(F.lit(4), n - 1)).otherwise(F.array().cast("array<int>"))
     starts = F.flatten(F.transform(cuts, lambda i: part("", F.substring(w1, F.lit(1), i))))
     ends = F.flatten(F.transform(cuts, lambda i: part("", F.substring(w1, n - i + 1, i))))
 
