@@ -65,30 +65,28 @@ def ten_digits(x: Column | str) -> Column:
     """The ten digits of a dialable line, else null.
 
     A leading country 1 and an extension don't count; the first of the ten is
-    neither 0 nor 1.
+    neither 0 nor 1. Lines in usual punctuation need one pattern only.
     """
+    plain = F.translate(c(x), " ()-./+", "")
+    usual = F.when(plain.rlike("^1?[2-9][0-9]{9}$"), F.right(plain, F.lit(10)))
     bare = F.regexp_replace(F.lower(c(x)), r"\s*(?:x|ext\.?|extension|#)\s*\d+\s*$", "")
-    digits = F.regexp_replace(bare, r"\D", "")
-    ten = F.regexp_replace(digits, r"^1(?=\d{10}$)", "")
-    return F.when(ten.rlike(r"^[2-9]\d{9}$"), ten)
+    ten = F.regexp_replace(F.regexp_replace(bare, r"\D", ""), r"^1(?=\d{10}$)", "")
+    return F.coalesce(usual, F.when(ten.rlike(r"^[2-9]\d{9}$"), ten))
 
 
 def web_host(x: Column | str) -> Column:
     """Host name of an address as people write it, without ``www.``; else null."""
-    s = F.lower(F.trim(c(x)))
-    s = F.regexp_replace(s, r"^[a-z][a-z0-9+.-]*://", "")
-    s = F.regexp_replace(s, r"[/?#].*$", "")
-    s = F.regexp_replace(s, r"^.*@", "")
-    s = F.regexp_replace(s, r":\d*$", "")
-    s = F.regexp_replace(s, r"^\.+|\.+$", "")
-    s = F.regexp_replace(s, r"^www\.", "")
-    return F.when(s.rlike(r"^[a-z0-9-]+(?:\.[a-z0-9-]+)+$"), s)
+    before = r"(?:[a-z][a-z0-9+.-]*://)?+(?:[^/?#]*@)?+\.*+(?:www\.)?+"
+    after = r"\.*(?::\d*)?(?:[/?#].*)?"
+    host = F.regexp_extract(F.lower(F.trim(c(x))), rf"(?s)^{before}([a-z0-9-]+(?:\.[a-z0-9-]+)+){after}$", 1)
+    return F.nullif(host, F.lit(""))
 
 
 def five_digits(x: Column | str) -> Column:
     """First five digits of a postal code, null if fewer or all five equal."""
-    d = F.substring(F.regexp_replace(c(x), r"\D", ""), 1, 5)
-    return F.when(d.rlike(r"^\d{5}$") & ~d.rlike(r"^(\d)\1{4}$"), d)
+    head = F.substring(c(x), 1, 5)
+    d = F.when(head.rlike("^[0-9]{5}$"), head).otherwise(F.substring(F.regexp_replace(c(x), r"\D", ""), 1, 5))
+    return F.when((F.length(d) == 5) & (d != F.repeat(F.substring(d, 1, 1), F.lit(5))), d)
 
 
 def legal_part(x: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.names import display_name, has_legal_form, normalize_name, operating_name, split_alias
 from tallyweave.functions.similarity import best_name_udf
+from tallyweave.operators import graph
 from tallyweave.session import cut
 from tallyweave.spec import Linkage, SpecError
 
@@ -19,26 +20,9 @@ def unique_ids(records: DataFrame, key: str = "record_id") -> DataFrame:
     return records
 
 
-def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, root`` (smallest node) for every node, alone or joined by ``edges`` (a, b).
-
-    Each round takes the smallest label among a node's neighbours and then the
-    label of that label; both are joins over all executors. Chains halve, so
-    rounds grow with the logarithm of the longest. Every round is written to the
-    shared folder, which ends its lineage.
-    """
-    pairs = edges.select("a", "b").where("a <> b")
-    both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "graph")
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        low = labels.join(near, labels.node == near.a).select("node", F.least("root", "m").alias("root"))
-        up = low.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = cut(low.join(up, "root", "left").select("node", F.coalesce(F.least("up", "root"), "root").alias("root"), ), "labels")
-        changed = new.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
-        labels = new
-        if not changed:
-            break
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, root`` (smallest node) for every node, alone or joined by ``edges`` (a, b)."""
+    labels = graph.connected(edges, "a", "b")
     return nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 

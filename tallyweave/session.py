@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -57,7 +58,25 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._cut_path = path
+    return kept
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing reads any more.
+
+    Call it once their successor is written. Shuffle files whose plans are gone go with them.
+    """
+    paths = [t.__dict__.pop("_cut_path", None) for t in tables]
+    for path, table in zip(paths, tables):
+        if path:
+            jvm = table.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if any(paths):
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def shuffle_width(spark: SparkSession) -> int:
