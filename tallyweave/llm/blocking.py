@@ -11,13 +11,15 @@ from tallyweave.session import cut, shuffle_width
 
 MOST_IN_BLOCK = 200
 BUCKETS_PER_TASK = 16_384
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 4 << 20
 
 
-def sendable(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, written once, with a broadcast hint if it has at most ``most`` rows; beyond, Spark shuffles it."""
+def sendable(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, written once, with a broadcast hint if its rows take at most ``most`` bytes; beyond, Spark shuffles it."""
     kept = cut(df, "small-side")
-    return F.broadcast(kept) if kept.limit(most + 1).count() <= most else kept
+    wide = sum(f.dataType.defaultSize() if hasattr(f.dataType, "defaultSize") else 32 if f.dataType.typeName() in ("string", "struct", "array") else 8 for f in df.schema.fields)
+    rows = most // max(8, wide)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
 
 
 def heavy(rows: DataFrame, key: str, most: int) -> DataFrame:
@@ -60,6 +62,24 @@ def whole_pairs(rows: DataFrame, key: str, fields: Sequence[str], most: int = MO
     return pairs.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
+def parted_pairs(rows: DataFrame, key: str, part: Sequence[str], fields: Sequence[str], most: int = MOST_IN_BLOCK) -> DataFrame:
+    """``a, b`` structs of ``fields`` for pairs of rows with the same ``key``; ``part`` and the first of ``fields`` are columns.
+
+    Keys of at most ``most`` rows give every pair. The rows of others give every pair
+    within the same ``part`` values (null being a value), and one row of each such part
+    meets those of all other parts of the key.
+    """
+    some = rows.where(F.col(key).isNotNull())
+    frequent = sendable(heavy(some, key, most))
+    rare = bounded_pairs(some.join(frequent, key, "left_anti"), key, fields)
+    if not frequent.take(1):
+        return rare
+    often = some.join(frequent, key, "left_semi").withColumn("_part", F.concat_ws("|", key, *[F.coalesce(F.col(p).cast("string"), F.lit("?")) for p in part]))
+    heads = often.groupBy(key, *part).agg(F.min(F.struct(*fields)).alias("_r")).select(key, F.col("_r"))
+    met = whole_pairs(heads.select(F.col(key).alias("_of"), "_r.*"), "_of", fields, most)
+    return rare.unionByName(whole_pairs(often, "_part", fields, most)).unionByName(met)
+
+
 def block_pairs(rows: DataFrame, key: str, fields: Sequence[str], finer: Column | None = None, most: int = MOST_IN_BLOCK) -> DataFrame:
     """``a, b`` structs of ``fields`` for pairs of rows with the same ``key``; the first field orders the two.
 

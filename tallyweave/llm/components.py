@@ -1,12 +1,12 @@
 """Connected components of a graph given as pairs.
 
 Every edge partition, as it lies, runs union-find over its own edges and keeps a
-spanning forest, at most one edge per node it saw. Forests are merged level by level:
-partitions are joined in fours and thinned again while a merged partition stays
-under a bound. When the forest has fitted into one bounded partition, its roots
-are the components. A forest too large for that is finished by star contraction,
-whose steps are joins and aggregates over all executors, so that no task ever
-holds more than the bound.
+spanning forest, at most one edge per node it saw. Forests are merged level by
+level: their sizes are counted, forests are packed into bins that stay under a
+bound whatever nodes they hold, and each bin is thinned again by one task, until
+one forest is left, whose roots are the components. If no two forests fit into one
+bin any more, what is left is finished by star contraction, whose steps are joins
+and aggregates over all executors, so that no task ever holds more than the bound.
 """
 
 from __future__ import annotations
@@ -14,92 +14,67 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.session import cut, shuffle_width
+from tallyweave.operators.graph import as_members, contract, oriented, spanning_forest
+from tallyweave.session import cut, drop
 
 EDGES_PER_TASK = 400_000
 FAN_IN = 4
 
 
-def _find(parent: dict, x):
-    root = x
-    while (up := parent.get(root, root)) != root:
-        root = up
-    while (up := parent.get(x, x)) != root:
-        parent[x] = root
-        x = up
-    return root
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over one partition; emits (node, smallest node of its tree) for every non-root."""
-    parent: dict = {}
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-            ra, rb = _find(parent, a), _find(parent, b)
-            if ra != rb:
-                low, high = (ra, rb) if ra < rb else (rb, ra)
-                parent[high] = low
-    nodes = [x for x, up in parent.items() if x != up]
-    roots = [_find(parent, x) for x in nodes]
-    for i in range(0, len(nodes), 65536):
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 65536], pa.string()), pa.array(roots[i : i + 65536], pa.string())], ["u", "v"])
-
-
-def _thin(edges: DataFrame, parts: int | None, label: str) -> DataFrame:
-    """Spanning forests of the edge partitions: as they lie, or joined into ``parts``."""
-    spread = edges if parts is None else edges.repartition(parts, "v") if parts > 1 else edges.coalesce(1)
-    return cut(spread.mapInArrow(_forest, "u string, v string"), label)
-
-
-def _contract(edges: DataFrame) -> DataFrame:
-    """Large-star and small-star rounds until every node points at its smallest; all steps distributed.
-
-    ``edges`` (u, v) with u > v. Hot nodes only meet aggregates with map-side
-    combining and joins that adaptive execution may split.
-    """
-    signature = None
-    while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: neighbours above u go to u's smallest
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct(), "large-star")
-        # small star: u's neighbours below and u itself go to u's smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        edges = cut(small.where("u <> v").distinct(), "small-star")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == signature:
-            return edges
-        signature = now
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The partition's spanning forest, with the partition's number."""
+    here = TaskContext.get().partitionId()
+    for batch in spanning_forest(batches):
+        yield batch.append_column("part", pa.array([here] * batch.num_rows, pa.int32()))
+
+
+def _merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One forest of all forests of a bin."""
+    for batch in spanning_forest(b.select(["u", "v"]) for b in batches):
+        yield batch.append_column("part", pa.array([key[0].as_py()] * batch.num_rows, pa.int32()))
+
+
+def bins(sizes: dict[int, int], most: int) -> dict[int, int]:
+    """Forest -> bin: at most ``FAN_IN`` forests and ``most`` edges to a bin, the smallest together."""
+    out: dict[int, int] = {}
+    held, filled, b = 0, 0, 0
+    for part in sorted(sizes, key=lambda p: (sizes[p], p)):
+        if filled and (filled == FAN_IN or held + sizes[part] > most):
+            b, held, filled = b + 1, 0, 0
+        out[part] = b
+        held, filled = held + sizes[part], filled + 1
+    return out
 
 
 def components(pairs: DataFrame, a: str, b: str, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
-    """``node, root`` for every node in a component of two or more; ``root`` is the smallest node as a string.
+    """``node, root`` for every node in a component of two or more; ``root`` is the smallest node.
 
-    Order of the two ends, repeated pairs and extra columns make no difference.
-    Pairs with a null end and pairs of one node with itself connect nothing. An
-    empty table gives an empty result.
+    Whole numbers are compared as such, all else as text. Order of the two ends,
+    repeated pairs and extra columns make no difference. Pairs with a null end and
+    pairs of one node with itself connect nothing. An empty table gives an empty
+    result.
     """
-    spark = pairs.sparkSession
-    edges = pairs.select(F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y"))
-    edges = edges.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-    width = shuffle_width(spark)
-    forest = _thin(edges, None, "forest")
-    left = forest.count()
-    while width > 1 and left <= edges_per_task * max(1, width // FAN_IN):
-        width = max(1, width // FAN_IN)
-        forest = _thin(forest, width, "forest")
-        if width > 1:
-            left = forest.count()
-    if width > 1:
-        forest = _contract(forest)
-    return forest.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(forest.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    edges = oriented(pairs, a, b)
+    kind = edges.schema["u"].dataType.simpleString()
+    shape = f"u {kind}, v {kind}, part int"
+    forest = cut(edges.mapInArrow(_numbered, shape), "forest")
+    while True:
+        sizes = {r.part: r["count"] for r in forest.groupBy("part").count().collect()}  # a number per partition
+        if len(sizes) < 2:
+            return as_members(forest)
+        dealt = bins(sizes, edges_per_task)
+        if len(set(dealt.values())) == len(sizes):
+            done = contract(forest)
+            drop(forest)
+            return as_members(done)
+        table = pairs.sparkSession.createDataFrame(list(dealt.items()), "part int, bin int")
+        less = forest.join(F.broadcast(table), "part").select("u", "v", "bin").groupBy("bin").applyInArrow(_merged, shape)
+        larger, forest = forest, cut(less, "forest")
+        drop(larger)
 
 
 def latest_decisions(queue: DataFrame) -> DataFrame:

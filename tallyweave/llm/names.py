@@ -8,7 +8,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.tokens import LEGAL_FORMS, STAND_INS, feed_key, five_digits, state_code, ten_digits, web_host
@@ -285,9 +285,9 @@ def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b.append(y)
             fam.append(trading.family)
             hold.append(" ".join(sorted(legal.own)) or None)
-            ini.append(trading.initials)
+            ini.append(sum(1 << (ord(x) - 97) for x in trading.initials))
         keep = [i for i, n in enumerate(batch.schema.names) if n not in ("name", "dba")]
-        cols = [batch.column(i) for i in keep] + [pa.array(a), pa.array(b), pa.array(fam, pa.int8()), pa.array(hold, pa.string()), pa.array(ini, pa.string())]
+        cols = [batch.column(i) for i in keep] + [pa.array(a), pa.array(b), pa.array(fam, pa.int8()), pa.array(hold, pa.string()), pa.array(ini, pa.int32())]
         yield pa.RecordBatch.from_arrays(cols, [batch.schema.names[i] for i in keep] + ["w1", "w2", "fam", "hold", "ini"])
 
 
@@ -296,7 +296,7 @@ def parsed_records(records: DataFrame) -> DataFrame:
 
     ``w1, w2`` are the name's own words (empty for a stand-in, a blank or a generic
     name), ``fam`` its trade family (0 unknown), ``hold`` the words of a holding
-    company, ``ini`` the initials of given names in full or short form. Null or unusable fields are null.
+    company, ``ini`` the initials of given names in full or short form, a bit for each letter. Null or unusable fields are null.
     """
     rows = records.select(
         F.col("record_id").alias("rid"),
@@ -308,94 +308,10 @@ def parsed_records(records: DataFrame) -> DataFrame:
         "name",
         "dba",
     )
-    return rows.mapInArrow(_parsed, "rid string, feed string, state string, zip5 string, phone string, host string, w1 string, w2 string, fam byte, hold string, ini string")
+    return rows.mapInArrow(_parsed, "rid string, feed string, state string, zip5 string, phone string, host string, w1 string, w2 string, fam byte, hold string, ini int")
 
 
 def parsed_spellings(spellings: DataFrame) -> DataFrame:
     """``rid, w1, w2, fam, ini`` of typed names (``rid, name``)."""
     rows = spellings.select("rid", "name", F.lit(None).cast("string").alias("dba"))
-    return rows.mapInArrow(_parsed, "rid string, w1 string, w2 string, fam byte, hold string, ini string").drop("hold")
-
-
-MOST_CHANGES = 6  # words with more letters to change are wholly unlike
-
-
-def name_likeness(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
-    """1 less the share of letters to change, in full for the word that differs more, by half for the other.
-
-    Words are taken in either order. Words run together are compared as a whole,
-    where a change counts double, as it concerns one of the two words. More than
-    ``MOST_CHANGES`` changes count as a share of 1, which keeps the distance to a band.
-    """
-
-    def off(x: Column, y: Column) -> Column:
-        changes = F.levenshtein(x, y, MOST_CHANGES)
-        return F.when(x == y, F.lit(0.0)).otherwise(F.when(changes < 0, F.lit(1.0)).otherwise(changes / F.greatest(F.length(x), F.length(y), F.lit(1))))
-
-    def two(x: tuple[Column, Column], y: tuple[Column, Column]) -> Column:
-        # once each, then combined: the two shares are array items, not repeated expressions
-        shares = F.sort_array(F.array(off(*x), off(*y)))
-        return F.aggregate(shares, F.lit(0.0), lambda acc, v: v + F.lit(0.5) * acc)
-
-    def whole(x: Column, y: Column) -> Column:
-        return F.lit(2.0) * off(x, y)
-
-    words = F.least(two((a1, b1), (a2, b2)), two((a1, b2), (a2, b1)))
-    ab, ba, cd, dc = F.concat(a1, a2), F.concat(a2, a1), F.concat(b1, b2), F.concat(b2, b1)
-    joined = F.least(whole(ab, cd), whole(ab, dc), whole(ba, cd))
-    differ = F.when((a1 == b1) & (a2 == b2), F.lit(0.0)).when((a2 == "") | (b2 == ""), joined).otherwise(words)
-    return F.greatest(F.lit(1.0) - differ, F.lit(0.0))
-
-
-def _less(w: Column) -> Column:
-    """A word with each of its letters left out."""
-    return F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-
-
-def _word_keys(w: Column) -> Column:
-    """The word, and with one letter left out, and from ten letters on with two.
-
-    Words of up to nine letters that differ by a share of 0.2133 differ by one
-    change, from ten letters on by two, from 15 on by three.
-    """
-    once = F.concat(F.array(w), _less(w))
-    return F.when(F.length(w) < 10, once).otherwise(F.concat(once, F.flatten(F.transform(_less(w), _less))))
-
-
-def meeting_keys(w1: Column, w2: Column) -> Column:
-    """Keys of which two spellings of likeness 0.68 or more share at least one.
-
-    Of two and two words the closer pair differs by a share of 0.2133 at most (its
-    half counts on top of the other's larger share), so left-out letters make it
-    meet. Words run together differ by 0.16 of their length, so up to 24 letters by
-    three changes, and one of their two parts has one change at most: a single word
-    has the keys of all its starts and ends of four letters or more, and two single
-    words meet by those of their first or last five letters (eight from 16 on).
-    Not guaranteed: closer words of 15 letters or more with over two changes, words
-    run together of 25 letters or more with over three.
-    """
-
-    def part(tag: str, s: Column) -> Column:
-        return F.transform(F.concat(F.array(s), _less(s)), lambda x: F.concat(F.lit(tag), x))
-
-    n = F.length(w1)
-    cuts = F.when(n >= 5, F.sequence(F.lit(4), n - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.flatten(F.transform(cuts, lambda i: part("", F.substring(w1, F.lit(1), i))))
-    ends = F.flatten(F.transform(cuts, lambda i: part("", F.substring(w1, n - i + 1, i))))
-
-    def halves(h: int) -> Column:
-        return F.concat(part(f"{h}^", F.substring(w1, 1, h)), part(f"{h}$", F.substring(w1, -h, h)))
-
-    single = F.concat(F.when(n <= 18, halves(5)).otherwise(F.array().cast("array<string>")), F.when(n >= 16, halves(8)).otherwise(F.array().cast("array<string>")), F.concat(F.array(w1), _less(w1)), starts, ends)
-    return F.array_distinct(F.transform(F.when(w2 == "", single).otherwise(F.concat(_word_keys(w1), _word_keys(w2))), lambda k: F.xxhash64(k)))
-
-
-def name_keys(w1: Column, w2: Column) -> Column:
-    """Blocking keys: one word whole with the start of the other, or the two outer ends of the words run together."""
-    whole = F.array(F.concat(w1, F.lit("~"), F.substring(w2, 1, 2)), F.concat(w2, F.lit("~"), F.substring(w1, 1, 2)))
-
-    def ends(a: Column, b: Column) -> list[Column]:
-        return [F.concat(F.substring(a, 1, 7), F.lit("^"), F.substring(b, -4, 4)), F.concat(F.substring(a, 1, 4), F.lit("^^"), F.substring(b, -7, 7))]
-
-    two = F.concat(whole, F.array(*ends(w1, w2), *ends(w2, w1)))
-    return F.when(w2 == "", F.array(*ends(w1, w1))).otherwise(two)
+    return rows.mapInArrow(_parsed, "rid string, w1 string, w2 string, fam byte, hold string, ini int").drop("hold")
