@@ -34,6 +34,11 @@ def state_label(state: Column) -> Column:
     return F.when(state.rlike("^[A-Z]{2}$"), state).otherwise(F.concat(F.lit("?"), F.pmod(F.xxhash64(state), F.lit(ODD_LABELS)).cast("string")))
 
 
+def spelling_id(a: Column, b: Column) -> Column:
+    """The number of a spelling, whatever the order of its two words; ``b`` may be empty."""
+    return F.when(b == "", F.xxhash64(a, b)).otherwise(F.xxhash64(F.least(a, b), F.greatest(a, b)))
+
+
 def word_ends(n: int) -> tuple[int, ...]:
     """How many letters of the start and the end of a word of ``n`` letters are keys.
 
@@ -48,7 +53,7 @@ def meeting_keys(w1: str, w2: str) -> Iterator[tuple[str, str, str]]:
 
     ``m`` is the word that gives the key, ``o`` the other. Of two and two words the
     closer pair has one changed letter up to nine letters, so its first or last half
-    stays. A spelling run together gives all its stretches of five letters, of two to
+    stays; of two words of ten letters or more four letters serve for two changes. A spelling run together gives all its stretches of five letters, of two to
     four as well if short, as it does not tell where its words part. Not guaranteed:
     spellings with two or more changed letters in each word, none of which begins or
     ends alike, and runs of 19 letters with three changes spread evenly.
@@ -59,8 +64,9 @@ def meeting_keys(w1: str, w2: str) -> Iterator[tuple[str, str, str]]:
                 yield "^" + stretch, w1, w2
                 yield "$" + stretch, w1, w2
         return
+    long = min(len(w1), len(w2)) >= 10  # such may have two changes in each word
     for m, o in ((w1, w2), (w2, w1)):
-        for h in word_ends(len(m)):
+        for h in (4, 5) if long else word_ends(len(m)):
             yield "^" + m[:h], m, o
             yield "$" + m[-h:], m, o
 
@@ -357,10 +363,7 @@ def like_spellings(rows: DataFrame, like: float, most: int = MOST_IN_PART) -> Da
     laid = blocks.repartition("key").sortWithinPartitions("key", "side")
     met = laid.mapInArrow(_meet(like), "xm string, xo string, ym string, yo string, like double")
 
-    def sid(m: str, o: str) -> Column:
-        return F.when(F.col(o) == "", F.xxhash64(m, o)).otherwise(F.xxhash64(F.least(m, o), F.greatest(m, o)))
-
-    ids = met.select(sid("xm", "xo").alias("s"), sid("ym", "yo").alias("t"), "like").where("s <> t")
+    ids = met.select(spelling_id(F.col("xm"), F.col("xo")).alias("s"), spelling_id(F.col("ym"), F.col("yo")).alias("t"), "like").where("s <> t")
     found = cut(ids.groupBy(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).agg(F.max("like").alias("like")), "like-spellings")
     drop(spelled, sizes)
     return found
