@@ -39,7 +39,16 @@ LEGAL_FORMS = (
 )
 
 # Wordings that introduce a trading name.
-DBA_PATTERN = r"(?i)(?:\s*[,;])?\s+(?:d\s?/\s?b\s?/\s?a|d\.b\.a\.?|dba|doing business as|a/k/a|a\.k\.a\.?|aka|t/a|trading as)\.?:?\s+"
+ALIAS_WORDINGS = ("d/b/a", "d.b.a", "dba", "doing business as", "a/k/a", "a.k.a", "aka", "t/a", "trading as")
+
+
+def loosely(wordings: tuple[str, ...]) -> str:
+    """A pattern of the wordings that lets blanks stand around slashes and behind dots, and any white space between words."""
+    loose = {"/": r"\s*/\s*", ".": r"\.\s*", " ": r"\s+"}
+    return "|".join("".join(loose.get(ch, ch) for ch in w) for w in wordings)
+
+
+DBA_PATTERN = rf"(?i)[\s,;]+(?:{loosely(ALIAS_WORDINGS)})\.?:?\s+"
 
 
 def c(x: Column | str) -> Column:

@@ -48,14 +48,15 @@ def claim(rows: DataFrame, name: str, value: Column, evidence: Column, confidenc
 
 
 def ledger(claims: Sequence[DataFrame]) -> DataFrame:
-    """All claims numbered ``<company>.<nn>`` in fixed order, names of dependencies resolved to the latest earlier claim."""
+    """All claims numbered ``<company>.<nn>`` in fixed order, names of dependencies resolved to all earlier claims of that name."""
     rows = reduce(DataFrame.unionByName, claims)
     w = Window.partitionBy("company_id").orderBy("_at", "_sub")
     rows = rows.withColumn("seq", F.row_number().over(w)).withColumn("claim_id", F.concat("company_id", F.lit("."), F.lpad(F.col("seq").cast("string"), 2, "0")))
-    ids = rows.groupBy("company_id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("seq", "claim", "claim_id"))), lambda s: F.struct(F.concat_ws("#", s["claim"], s["seq"]), s["claim_id"]))).alias("_ids"), F.array_sort(F.collect_list(F.struct("seq", "claim", "claim_id"))).alias("_all"))
-    known = rows.join(ids, "company_id")
-    earlier = F.flatten(F.transform("_depends", lambda d: F.transform(F.filter("_all", lambda s: (s["claim"] == d) & (s["seq"] < F.col("seq"))), lambda s: s["claim_id"])))
-    return known.withColumn("depends_on", F.array_sort(F.array_distinct(earlier))).drop("_ids", "_all", "_at", "_sub", "_depends")
+    # the claims before each one stand in the window's frame; a company has a few dozen
+    before = F.collect_list(F.struct("claim", "claim_id")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    known = rows.withColumn("_all", before)
+    earlier = F.flatten(F.transform("_depends", lambda d: F.transform(F.filter("_all", lambda s: s["claim"] == d), lambda s: s["claim_id"])))
+    return known.withColumn("depends_on", F.array_sort(F.array_distinct(earlier))).drop("_all", "_at", "_sub", "_depends")
 
 
 def ceiling(led: DataFrame) -> DataFrame:

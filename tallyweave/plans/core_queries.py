@@ -370,7 +370,7 @@ def arrivals_stream(spark, sf_dir):
     stream = spark.readStream.schema(schema).parquet(source).withColumn("source", feed_key("source")).withColumn("observed_at", F.col("observed_at").cast("timestamp"))
     from tallyweave.session import shared_dir
 
-    out = run_to_table(spark, feed_arrivals(stream), f"arrivals_{abs(hash(sf_dir)) % 10**9}_{next(tempfile._get_candidate_names())}".replace("-", "_"), f"{shared_dir(spark)}/stream-{next(tempfile._get_candidate_names())}")
+    out = run_to_table(spark, feed_arrivals(stream), ["window", "source"], f"{shared_dir(spark)}/stream-{next(tempfile._get_candidate_names())}")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("week"), "source", "n_records")
 
 

@@ -96,17 +96,26 @@ def table_adapter(path: str) -> Adapter:
 
 
 def licence_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A licence register in CSV (``business_name, dba_name, city, state, zip, phone, license_type, license_status``) as records ``LIC-00001`` and on."""
+    """A licence register in CSV (``business_name, dba_name, city, state, zip, phone, license_type, license_status``) as records ``LIC-00001`` and on.
+
+    Rows are numbered through all files in reading order: each read split counts its
+    own rows, and the counts of the splits before it are added.
+    """
     raw = spark.read.option("header", True).csv(path)
     have = set(raw.columns)
 
     def col(name: str):
         return F.col(name) if name in have else F.lit(None).cast("string")
 
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
-    rows = raw.withColumn("_at", F.monotonically_increasing_id()).withColumn("_file", F.input_file_name())
+    # a split's rows have the split's number in the upper bits, so it is counted where it is read
+    rows = raw.withColumn("_at", F.monotonically_increasing_id())
+    split = F.shiftright("_at", 33)
+    sizes = {r._split: r["count"] for r in rows.groupBy(split.alias("_split")).count().collect()}  # a number per split
+    before, total = {}, 0
+    for part in sorted(sizes):
+        before[part], total = total, total + sizes[part]
+    offset = F.element_at(F.create_map(*[F.lit(v) for kv in before.items() for v in kv]), split) if before else F.lit(0)
+    n = offset + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in ATTRIBUTES]
     own = {"license_type": col("license_type"), "license_status": col("license_status")}
     attributes = F.struct(*[own[f.name].alias(f.name) if f.name in own else e for f, e in zip(ATTRIBUTES, empty)])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyweave.operators.linkage import blocks, prepare, score_pairs
+from tallyweave.session import cut, drop
 from tallyweave.spec import Linkage
 
 
@@ -22,22 +25,40 @@ def linked_batch(new: DataFrame, base: DataFrame, spec: Linkage = Linkage()) ->
     return score_pairs(pairs, rows, spec)
 
 
-def start_linkage(stream: DataFrame, base_path: str, out_path: str, checkpoint: str, spec: Linkage = Linkage()):
-    """A query that scores each micro-batch against the base table, writes its pairs and then adds it to the base.
+def _with_batch(df: DataFrame) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
 
-    Each batch writes to its own folder of the output, so a batch that is repeated
-    after a failure replaces itself; records already in the base are left out.
+
+def known_records(spark: SparkSession, base_path: str, added_path: str, before: int | None = None) -> DataFrame:
+    """The base table and what batches (those ``before`` one) have added to it."""
+    base = spark.read.parquet(base_path)
+    try:
+        added = spark.read.schema(_with_batch(base)).parquet(added_path)
+    except AnalysisException:
+        return base  # nothing added yet
+    earlier = added if before is None else added.where(F.col("batch") < before)
+    return base.unionByName(earlier.drop("batch"))
+
+
+def link_step(batch: DataFrame, epoch: int, base_path: str, added_path: str, out_path: str, spec: Linkage = Linkage()) -> None:
+    """Scores one micro-batch against what earlier batches left, writes its pairs, then its new records.
+
+    Both go to the batch's own folder, and what is new is told by earlier batches
+    only, so a batch that is repeated after a failure anywhere replaces itself.
     """
+    spark = batch.sparkSession
+    base = known_records(spark, base_path, added_path, epoch)
+    new = cut(batch.join(base.select("record_id"), "record_id", "left_anti").dropDuplicates(["record_id"]), "new-records")
+    linked_batch(new, base, spec).write.mode("overwrite").parquet(f"{out_path}/batch={epoch}")
+    new.select(*base.columns).write.mode("overwrite").parquet(f"{added_path}/batch={epoch}")
+    drop(new)
+
+
+def start_linkage(stream: DataFrame, base_path: str, added_path: str, out_path: str, checkpoint: str, spec: Linkage = Linkage()):
+    """A query that scores each micro-batch against the known records, writes its pairs and then adds it to them."""
 
     def step(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        base = spark.read.parquet(base_path)
-        new = batch.join(base.select("record_id"), "record_id", "left_anti").dropDuplicates(["record_id"]).persist()
-        try:
-            linked_batch(new, base, spec).write.mode("overwrite").parquet(f"{out_path}/batch={epoch}")
-            new.select(*base.columns).write.mode("append").parquet(base_path)
-        finally:
-            new.unpersist()
+        link_step(batch, epoch, base_path, added_path, out_path, spec)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -48,8 +69,20 @@ def feed_arrivals(stream: DataFrame, window: str = "7 days", late: str = "60 day
     return timed.groupBy(F.window("observed_at", window), "source").agg(F.count(F.lit(1)).alias("n_records"))
 
 
-def run_to_table(spark: SparkSession, df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is and returns its result."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(spark: SparkSession, df: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Runs a stream over what there is; of each key what its last batch said.
+
+    Updates are written to Parquet batch by batch, and state past the watermark is let go.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/updates/batch={epoch}")
+
+    query = df.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    try:
+        updates = spark.read.schema(_with_batch(df)).parquet(f"{folder}/updates")
+    except AnalysisException:
+        return spark.createDataFrame([], df.schema)
+    rest = [c for c in df.columns if c not in keys]
+    last = updates.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("_r"))
+    return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)

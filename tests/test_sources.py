@@ -123,3 +123,25 @@ def test_heavy_keys(spark):
     rows = [("hot", f"r{i}") for i in range(30)] + [(f"k{i}", f"s{i}") for i in range(70)] + [("hot", "r1")] * 5
     got = heavy_keys(spark.createDataFrame(rows, "k string, m string"), {"k": F.col("k")}, "m").collect()
     assert [tuple(r) for r in got] == [("k", "hot")]
+
+
+def test_licences_of_two_files_have_different_ids(spark, tmp_path):
+    for k, names in enumerate((["A", "B"], ["C", "D", "E"])):
+        (tmp_path / f"{k}.csv").write_text("business_name\n" + "\n".join(names) + "\n")
+    got = [r.record_id for r in feeds.licence_csv(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [f"LIC-{i:05d}" for i in range(1, 6)]
+
+
+def test_a_repeated_batch_replaces_itself(spark, tmp_path):
+    from tallyweave.streaming.incremental import known_records, link_step
+
+    schema = "record_id string, source string, name string, dba string, city string, state string, zip string, phone string, website string, pos bigint"
+    known = [("A", "reg", "Braxmoor Fire", None, None, "IL", None, "217-555-0142", None, 1)]
+    first, second = [("B", "lic", "Braxmoor Fire", None, None, "IL", None, "217-555-0142", None, 2)], [("C", "web", "Braxmoor Fire", None, None, "IL", None, "217-555-0142", None, 3), known[0]]
+    base, added, out = (str(tmp_path / n) for n in ("base", "added", "out"))
+    spark.createDataFrame(known, schema).write.parquet(base)
+    for epoch, rows in ((0, first), (0, first), (1, second), (1, second)):
+        link_step(spark.createDataFrame(rows, schema), epoch, base, added, out)
+    pairs = sorted((r.a, r.b) for r in spark.read.parquet(out).collect())
+    assert pairs == [("A", "B"), ("A", "C"), ("B", "C")]
+    assert sorted(r.record_id for r in known_records(spark, base, added).collect()) == ["A", "B", "C"]
