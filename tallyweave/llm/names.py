@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.tokens import LEGAL_FORMS, STAND_INS, feed_key, five_digits, state_code, ten_digits, web_host
+from tallyweave.functions.tokens import DBA_PATTERN, LEGAL_FORMS, STAND_INS, feed_key, five_digits, state_code, ten_digits, web_host
 from tallyweave.llm.pii import fold
 
 # Trade words and the family they tell (0: none by itself).
@@ -89,7 +89,7 @@ for _full, _short in GIVEN_SHORT.items():
     for _word in (_full, *_short.split()):
         _INITIALS[_word] = "".join(sorted({*_INITIALS.get(_word, ""), _full[0]}))
 _LOOKALIKE = str.maketrans("013458", "oleash")
-_DBA = re.compile(r"(?:\s*[,;])?\s+(?:d\s?/\s?b\s?/\s?a|d\.b\.a\.?|dba|doing business as|a/k/a|a\.k\.a\.?|aka|t/a|trading as)\.?:?\s+", re.I)
+_DBA = re.compile(DBA_PATTERN)
 _ALIAS = re.compile(r"\s*\(([^()]*)\)\s*\Z")
 _TOKEN = re.compile(r"[a-z0-9]+")
 _LEGAL = frozenset(LEGAL_FORMS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.functions.tokens import DBA_PATTERN
 from tallyweave.llm.components import merged_groups
 from tallyweave.llm.leaks import find_leaks
 from tallyweave.llm.matching import found_pairs, match_records
@@ -101,7 +102,7 @@ grp AS (SELECT node AS record_id, min(seen) AS group_id FROM reach GROUP BY node
 _PHONE = r"regexp_replace(regexp_replace(regexp_replace(lower(phone), '\s*(x|ext\.?|extension|#)\s*\d+\s*$', ''), '[^0-9]', '', 'g'), '^1(\d{10})$', '\1')"
 _HOST = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(website)), '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), '^.*@', ''), ':\d*$', ''), '^\.+|\.+$', '', 'g')"""
 _STAND_IN = "coalesce(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')) IN ('', 'n a', 'na', 'name not provided', 'no name', 'none', 'not provided', 'null', 'see file', 'tbd', 'unknown'), true)"
-_LEGAL_PART = r"""trim(regexp_replace(trim(regexp_replace(trim(name), '(?i)(\s*[,;])?\s+(d\s?/\s?b\s?/\s?a|d\.b\.a\.?|dba|doing business as|a/k/a|a\.k\.a\.?|aka|t/a|trading as)\.?:?\s+.*$', '')), '\s*\([^()]*\)\s*$', ''))"""
+_LEGAL_PART = rf"""trim(regexp_replace(trim(regexp_replace(trim(name), '{DBA_PATTERN}.*$', '')), '\s*\([^()]*\)\s*$', ''))"""
 _LEGAL_END = rf"""regexp_extract(replace(lower({_LEGAL_PART}), '.', ''), '([a-z]+)[\s,;]*$', 1) IN ('co', 'company', 'corp', 'corporation', 'inc', 'incorporated', 'limited', 'llc', 'llp', 'lp', 'ltd', 'pc', 'plc', 'pllc')"""
 _ZIP = "left(regexp_replace(zip, '[^0-9]', '', 'g'), 5)"
 _FEED = r"regexp_replace(lower(trim({0})), '[\s_-]+', '_', 'g')"
