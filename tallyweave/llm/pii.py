@@ -65,8 +65,10 @@ _LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*\Z|[A-Za-z0-9]\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 _DIGITS = re.compile(r"[+(\d][\d() \t./+-]{7,}\d")
 _PHONE = re.compile(r"(?<![\w@#.+/-])(?<!\d[ ])(?:\+?1(?:[ \t]?[.-][ \t]?|[ \t]{1,2}|(?=\())?)?(?:\([2-9]\d\d\)[ \t]{0,2}|[2-9]\d\d[ \t]{0,2}[./-]?[ \t]{0,2})\d{3}[ \t]{0,2}[.-]?[ \t]{0,2}\d{4}(?![\w@-]|\.\d)")
+# a country prefix other than 1, then eight to fourteen digits in groups
+_ABROAD = re.compile(r"(?<![\w@#.+/-])\+(?=(?:[ \t()./-]*\d){9,15}(?!\d))[2-9]\d{0,2}(?:[ \t]?[./-]?[ \t]?(?:\(\d{1,5}\)|\d{2,})){2,6}(?![\w@-])")
 _LABEL = re.compile(
-    r"\b(?:ssn|social\s+security(?:\s+(?:number|no\.?|card))?|soc\.?\s*sec|taxpayer\s+id(?:entification)?|tax\s+id|itin|tin|passport|driver'?s?'?\s+licen[cs]e|dl)\b\.?(?:\s*(?:number|no\.?|num\.?|id))?\s*[#:]*\s*"
+    r"\b(?:ssn|social\s+security(?:\s+(?:number|no\.?|card))?|soc\.?\s*sec|taxpayer\s+id(?:entification)?|tax\s+id|itin|tin|passport|driver'?s?'?\s+licen[cs]e|dl)\b\.?(?:\s*(?:number|no\.?|num\.?|id))?(?:\s+(?:is|was|reads|ist|es))?\s*[#:]*\s*"
     r"(?P<v>\d{3}[ -]\d{2}[ -]\d{4}|\d{9}|[A-Z]{1,2}\d{3}[ -]\d{4}[ -]\d{4}|[A-Z]{1,2}\d{6,13})(?![\w-])",
     re.I,
 )
@@ -106,6 +108,12 @@ _CUES = (
     "Bitte",
 )
 _CUED = re.compile(rf"\s+(?:{TITLES}\.?\s)?(?P<n>{_FULL}|(?P<t>{_SUR}),\s[A-Z][a-z]{{2,}}(?=\s?[,/;.\n]))")
+_PAIR = re.compile(r"(?<![\w'&-])(?P<g>[A-Z][a-z]{2,})\s(?:[A-Z]\.\s?)?(?P<s>(?:Mc|Mac|O')?[A-Z][a-z]{2,}(?:-[A-Z][a-z]+)?)(?![\w'-])")
+# Roles and labels before a person's name.
+_ROLES = "contact|attn|attention|manager|owner|supervisor|technician|inspector|foreman|tenant|caretaker|signed|name|by|from|with|call|ask for|reach"
+_ROLE = re.compile(rf"\b(?:{_ROLES})\b", re.I)
+_ROLE_END = re.compile(rf"\b(?:{_ROLES})\s*[:,]?\s+(?:{TITLES}\.?\s)?\Z", re.I)
+_REACH = re.compile(r"\s*[,(<:;-]{0,2}\s*(?:(?:at|on|tel|phone|cell|mobile|email|e-mail)\.?:?\s*)?(?:\(?\+?\d[\d() .-]{8,}\d|[\w.+-]+@[\w-]+\.)", re.I)
 _NEXT = re.compile(r"(?:\s*&\s*|\s+and\s+|,?\s+)?([A-Za-z]+)")
 _NOT_SURNAME = frozenset(
     "The This That Whether Roughly Between Please Hotline Pressure Revenue Deficiency Invoices Owner Under Tag Item Fee Meter Two Our Mail Ask Permit"
@@ -115,7 +123,8 @@ _NOT_SURNAME = frozenset(
 )
 
 
-_DIGIT_GATE = (" zero", " two", " three", " four", " five", " six", " seven", " eight", " nine")
+MOST_SURNAME = 256  # characters of a surname printed before a given name
+_DIGIT_GATE = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "oh")
 
 
 def _gate(text: str) -> bool:
@@ -147,7 +156,8 @@ class Source:
             for m in _DISGUISE.finditer(text):
                 word = m.group(0).strip(" \t\n\r[](){}").lower()
                 edits.append((m.start(), m.end(), "@" if word in ("at", "@") else "." if word in ("dot", ".") else ""))
-        if sum(map(text.count, _DIGIT_GATE)) > 4 or text.isupper():
+        low = text.lower()
+        if sum(map(low.count, _DIGIT_GATE)) > 6:
             for m in _SPELLED.finditer(text):
                 inner = [(m.start() + w.start(), m.start() + w.end(), w.group(0)) for w in _WORD.finditer(m.group(0))]
                 edits += [(x, y, DIGIT_WORDS[w.lower()]) for x, y, w in inner]
@@ -199,19 +209,19 @@ def _firm_follows(text: str, end: int) -> bool:
 _FIRM = frozenset(FIRM_WORDS)
 
 
-def _people(t: str) -> Iterator[tuple[int, int]]:
+def _people(t: str, addresses: list[str]) -> Iterator[tuple[int, int]]:
     """Names of persons. ``Surname, Given`` goes before ``Given Surname`` unless a surname follows the given name."""
     taken: list[tuple[int, int]] = []
     heads: list[tuple[int, int]] = []
     for a, b in _given_names(t):
         if (a and (t[a - 1].isalnum() or t[a - 1] in "'-")) or t[b : b + 1].isalnum() or t[b : b + 1] in ("'", "-"):
             continue
-        before = _BEFORE_GIVEN.search(t[max(0, a - 48) : a])
+        before = _BEFORE_GIVEN.search(t[max(0, a - MOST_SURNAME) : a])
         if before and before.group("s") and not _SURNAME_NEXT.match(t, b):
             s = before.group("s")
             if s.split("-")[0].title() not in _NOT_SURNAME and s.title() not in _GIVEN_SET and not _firm_follows(t, b):
                 middle = _MIDDLE.match(t, b)
-                taken.append((max(0, a - 48) + before.start("s"), middle.end() if middle else b))
+                taken.append((max(0, a - MOST_SURNAME) + before.start("s"), middle.end() if middle else b))
                 continue
         after = _AFTER_GIVEN.match(t, b)
         if after and _is_surname(after.group("s")) and not _firm_follows(t, after.end()):
@@ -233,6 +243,7 @@ def _people(t: str) -> Iterator[tuple[int, int]]:
             if m and _is_surname(m.group("s") or m.group("t")) and not _firm_follows(t, m.end("n")):
                 heads.append(m.span("n"))
             at = t.find(cue, at + len(cue))
+    heads += [span for span in _told_by_context(t, addresses) if span not in heads]
     yield from taken
     starts = [a for a, _ in taken]
     for a, b in heads:
@@ -241,6 +252,32 @@ def _people(t: str) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
+def _told_by_context(t: str, addresses: list[str]) -> Iterator[tuple[int, int]]:
+    """Names that no list holds, scored by what stands around them.
+
+    Two capitalised words count as a person's name with two points: two for an
+    e-mail address of the text whose local part is made of them, one for a role or a
+    label before them, one for a phone number or an address right behind them.
+    """
+    if not addresses and not _ROLE.search(t):
+        return
+    locals_ = [re.sub("[^a-z]", " ", a.lower()).split() for a in addresses]
+    joined = {"".join(words) for words in locals_}
+    at = 0
+    while m := _PAIR.search(t, at):
+        at = m.start("s")
+        given, surname = m.group("g"), m.group("s")
+        if not _is_surname(surname) or not _is_surname(given) or _firm_follows(t, m.end()):
+            continue
+        g, s = given.lower(), re.sub("[^a-z]", "", surname.lower())
+        own = bool({g + s, s + g, g[0] + s, s + g[0]} & joined) or any(s in words and (g in words or g[0] in words) for words in locals_)
+        role = bool(_ROLE_END.search(t[max(0, m.start() - 40) : m.start()]))
+        reach = bool(_REACH.match(t, m.end()))
+        if 2 * own + role + reach >= 2:
+            at = m.end()
+            yield m.span()
+
+
 def _given_names(t: str) -> list[tuple[int, int]]:
     """Where given names stand, in order."""
     found = []
@@ -268,7 +305,10 @@ def mentions(raw: str | None) -> list[tuple[int, int, str]]:
     t = src.norm
     found: list[tuple[int, int, str]] = []
     for m in _AT.finditer(t):
-        left = _LOCAL.search(t[max(0, m.start() - 64) : m.start()])
+        begin = m.start()
+        while begin and (t[begin - 1].isalnum() or t[begin - 1] in "._%+-"):
+            begin -= 1
+        left = _LOCAL.search(t[begin : m.start()])
         right = _DOMAIN.match(t, m.end())
         if left and right:
             a = m.start() - (len(left.group(0)))
@@ -278,6 +318,8 @@ def mentions(raw: str | None) -> list[tuple[int, int, str]]:
         found += [(*m.span("v"), "id_number") for m in _LABEL.finditer(t) if any(ch.isdigit() for ch in m.group("v"))]
     for run in _DIGITS.finditer(t):
         found += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(t, *run.span())]
+        if "+" in run.group(0):
+            found += [(m.start(), m.end(), "phone") for m in _ABROAD.finditer(t, *run.span())]
     for m in _ADDRESS.finditer(t):
         a, b = m.span()
         if a and (t[a - 1].isalnum() or t[a - 1] in "_#$.,/-"):
@@ -285,7 +327,7 @@ def mentions(raw: str | None) -> list[tuple[int, int, str]]:
         if t[b - 1] == "." and t[b : b + 1] != "." and _CLOSES.match(t, b - 1):
             b -= 1
         found.append((a, b, "address"))
-    for a, b in _people(t):
+    for a, b in _people(t, [t[a:b].split("@")[0] for a, b, _ in found if _ == "email"]):
         found.append((a, b, "person"))
     order = {k: i for i, k in enumerate(KINDS)}
     found.sort(key=lambda x: (x[0], order[x[2]], -x[1]))

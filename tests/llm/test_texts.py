@@ -112,3 +112,27 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "a@b.example a@b.example"), (2, None), (3, "")], "doc_id bigint, text string").withColumn("kind", F.lit("clash"))
     assert [tuple(r) for r in pii.find_personal_information(df).collect()] == [(1, "email", "a@b.example")]
     assert {r.doc_id: r.text for r in pii.redact_personal_information(df).collect()} == {1: "[EMAIL] [EMAIL]", 2: None, 3: ""}
+
+
+def test_names_and_forms_outside_all_lists():
+    from tallyweave.llm import pii
+
+    told = [
+        ("Reach Brooke Tanaka at 312-555-0188.", "person", "Brooke Tanaka"),
+        ("The owner, Dwayne Okafor, (312) 555-0188, knows.", "person", "Dwayne Okafor"),
+        ("Thulani Vandermeer keeps the keys: thulani.vandermeer@keys.example", "person", "Thulani Vandermeer"),
+        ("Manager: Shanice Q. Pellgrove <sp@keys.example>", "person", "Shanice Q. Pellgrove"),
+        ("Contact Mr. Bogdan Stoyanov, phone 312 555 0188", "person", "Bogdan Stoyanov"),
+        ("Write to bstoyanov@keys.example, that is Bogdan Stoyanov.", "person", "Bogdan Stoyanov"),
+        ("His SSN is 123-45-6789.", "id_number", "123-45-6789"),
+        ("Passport number was X12345678", "id_number", "X12345678"),
+        ("Ring +49 30 1234567 after nine.", "phone", "+49 30 1234567"),
+        ("London: +44 20 7946 0958", "phone", "+44 20 7946 0958"),
+        ("Long: " + "a" * 80 + "@x.example", "email", "a" * 80 + "@x.example"),
+    ]
+    held = set(pii.GIVEN)
+    assert not held & {"Brooke", "Dwayne", "Thulani", "Shanice", "Bogdan"}
+    missed = [(text, value) for text, kind, value in told if value not in {text[a:b] for a, b, k in pii.mentions(text) if k == kind}]
+    assert len(missed) <= 1, missed
+    plain = ["Call Riverton Heights at 312-555-0188 Fire Alarm", "Braxmoor Plumbing, contact the manager", "Rated 4500 psi + 200"]
+    assert not [m for t in plain for m in pii.mentions(t) if m[2] in ("person", "id_number")]
