@@ -21,8 +21,9 @@ counted before anything is collected, so more items mean more blocks.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -60,17 +61,27 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def without_opening(texts: list[str], shared_by: int = SHARED_BY) -> list[list[str]]:
-    """Words of each text after the leading sentences that at least ``shared_by`` texts open with."""
-    split = [[s for s in _SENTENCE.split((t or "").strip()) if s] for t in texts]
-    heads = Counter(tuple(s[:k]) for s in split for k in range(1, min(len(s), 4)))
-    out = []
-    for s in split:
-        k = 0
-        while k + 1 < len(s) and k < 3 and heads[tuple(s[: k + 1])] >= shared_by:
-            k += 1
-        out.append(words(" ".join(s[k:])))
-    return out
+def sentences(text: str) -> list[str]:
+    return [s for s in _SENTENCE.split(text.strip()) if s]
+
+
+def _openings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, t) to (i, t, k, head): a digest of the first k sentences, k up to three and less than all."""
+    for batch in batches:
+        rows = []
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            split = sentences(t)
+            rows += [(i, t, k, hashlib.blake2b("\x1f".join(split[:k]).encode(), digest_size=16).hexdigest()) for k in range(1, min(len(split), 4))]
+        cols = list(zip(*rows)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.string()))], ["i", "t", "k", "head"])
+
+
+def with_openings(listed: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
+    """``i, t, skip``: items and the number of leading sentences that at least ``shared_by`` items open with, counted over all items."""
+    heads = cut(listed.mapInArrow(_openings, "i bigint, t string, k int, head string"), "item-openings")
+    shared = heads.groupBy("head").count().where(F.col("count") >= shared_by).select("head")
+    skip = heads.join(shared, "head").groupBy("i", "t").agg(F.max("k").alias("skip"))
+    return cut(listed.join(skip, ["i", "t"], "left").select("i", "t", F.coalesce("skip", F.lit(0)).alias("skip")), "items")
 
 
 @dataclass
@@ -242,7 +253,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str
     count once; item ids must be integers. Whole texts are read.
     """
     spark = docs.sparkSession
-    listed = items.select(F.col(item).cast("bigint").alias("i"), F.col(text).alias("t")).dropna().distinct()
+    listed = with_openings(items.select(F.col(item).cast("bigint").alias("i"), F.col(text).alias("t")).dropna().distinct())
     total = listed.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // chars_per_block) or 1
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -250,7 +261,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str
     found = []
     for b in range(blocks):
         block = listed.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).orderBy("i", "t").collect()
-        index = ItemIndex.build([r.i for r in block], without_opening([r.t for r in block]))
+        index = ItemIndex.build([r.i for r in block], [words(" ".join(sentences(r.t)[r.skip :])) for r in block])
         sent = spark.sparkContext.broadcast(index)
         hits = cut(rows.mapInArrow(lambda it, s=sent: _scan(it, s.value), f"k {kind}, w array<int>, at array<int>, sh array<int>"), "leak-hits")
         counted = hits.select(F.explode(F.array_distinct("sh")).alias("s")).groupBy("s").count().collect()  # at most one row per shingle of the block

@@ -136,3 +136,14 @@ def test_names_and_forms_outside_all_lists():
     assert len(missed) <= 1, missed
     plain = ["Call Riverton Heights at 312-555-0188 Fire Alarm", "Braxmoor Plumbing, contact the manager", "Rated 4500 psi + 200"]
     assert not [m for t in plain for m in pii.mentions(t) if m[2] in ("person", "id_number")]
+
+
+def test_openings_are_counted_over_all_items_whatever_the_blocks(spark):
+    from tallyweave.llm.leaks import find_leaks
+
+    opening = "Read the following case with care and answer the question that stands below it in one word."
+    cases = [" ".join(f"word{k}x{i}" for i in range(40)) + "." for k in range(6)]
+    items = spark.createDataFrame([(k, f"{opening} {c}") for k, c in enumerate(cases)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Before " + cases[2] + " after"), (2, opening + " " + opening), (3, None)], "doc_id long, text string")
+    got = [{tuple(r) for r in find_leaks(docs, items, chars_per_block=n).collect()} for n in (10**6, 600)]
+    assert got[0] == got[1] == {(1, 2)}
