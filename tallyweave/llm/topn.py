@@ -3,7 +3,8 @@
 1. A histogram of the scores of each group, pre-aggregated where the rows lie.
 2. Walking a group's few bins from the top gives the highest bin edge with at
    least N rows on or above it: no row below it can be among the first N.
-3. Rows below are dropped; what is left is ranked exactly with the tie keys.
+3. Rows below are dropped where they lie, as long as the thresholds are few enough
+   to be sent; what is left is ranked exactly with the tie keys.
    The ranking window carries a per-task limit, so a group whose best score is
    shared by millions of rows still sends N rows of each task to one place.
 """
@@ -15,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.llm.blocking import sendable
+
 BINS_PER_OCTAVE = 64
 
 
@@ -50,7 +53,7 @@ def top_n(df: DataFrame, groups: Sequence[str], score: str, ties: Sequence[Colum
         raise ValueError(f"rename these columns first: {sorted(clash)}")
     scored = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     least = safe_bins(scored, groups, score, n)
-    right = least.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_least")
+    right = sendable(least.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_least"))
     same = F.lit(True)
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
