@@ -59,7 +59,10 @@ def _lookup(table: dict[str, float], key: Column) -> Column:
 def record_survivors(records: DataFrame, groups: DataFrame, specs: DataFrame) -> DataFrame:
     """Name, legal name, phone, website and zip of each group of merged records."""
     name_ok = ~is_stand_in("name")
-    facts = records.select(
+    # names are read only for records that are in a group
+    grouped = records.select("record_id", "source", "observed_at", "name", "phone", "website", "zip").join(groups.select("record_id", "group_id"), "record_id")
+    facts = grouped.select(
+        "group_id",
         "record_id",
         _lookup(trust_map(specs), feed_key("source")).alias("trust"),
         "observed_at",
@@ -70,8 +73,7 @@ def record_survivors(records: DataFrame, groups: DataFrame, specs: DataFrame) ->
         five_digits("zip").isNotNull().alias("zip"),
     )
     fields = ("name", "legal_name", "phone", "website", "zip")
-    grouped = facts.join(groups, "record_id")
-    return survivors(grouped, "group_id", "record_id", {f: F.col(f) for f in fields}, F.col("trust"), F.col("observed_at"))
+    return survivors(facts, "group_id", "record_id", {f: F.col(f) for f in fields}, F.col("trust"), F.col("observed_at"))
 
 
 def target_survivors(targets: DataFrame, specs: DataFrame) -> DataFrame:
