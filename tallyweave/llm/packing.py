@@ -4,9 +4,9 @@
    few coordinates. Only id, length and coordinates go on, never the text.
 2. Means and deviations over all documents scale the coordinates; a Hilbert
    curve through them gives one key per document.
-3. Documents are range-sorted by that key and packed along the curve, window by
-   window, largest first into the fullest container that still has room.
-   Containers with room left stay open for the windows that follow.
+3. Documents are range-sorted by that key and packed along the curve: each
+   container takes the first text that waits and those of the next ones that fill
+   it best, and is closed then, so it holds neighbours on the curve.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ CAPACITY = 1024
 BUCKETS = 512
 DIMENSIONS = 4
 BITS = 12
-WINDOW = 4096
+WINDOW = 64  # texts that wait at a time
 CONTAINERS_PER_TASK = 2_000
 MOST_TASKS = 10_000
 
@@ -104,64 +104,64 @@ def _keyed(batches: Iterable[pa.RecordBatch], mean: list[float], dev: list[float
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hilbert_key(cells))], ["k", "n", "h"])
 
 
-class Packer:
-    """Best fit into open containers; room left is looked up in a bit set."""
-
-    def __init__(self, capacity: int, first: int):
-        self.capacity, self.next = capacity, first
-        self.rooms = 0
-        self.open: list[list[int]] = [[] for _ in range(capacity + 1)]
-
-    def fresh(self) -> int:
-        self.next += 1
-        return self.next - 1
-
-    def place(self, size: int) -> int:
-        fitting = self.rooms >> size << size
-        if fitting:
-            room = (fitting & -fitting).bit_length() - 1
-            box = self.open[room].pop()
-            if not self.open[room]:
-                self.rooms &= ~(1 << room)
-        else:
-            room, box = self.capacity, self.fresh()
-        left = room - size
-        self.open[left].append(box)
-        self.rooms |= 1 << left
-        return box
+def fullest(sizes: list[int], room: int) -> list[int]:
+    """Which of the sizes fill ``room`` best, the first ones preferred; exact, by the sums that each start of the list reaches."""
+    below = (2 << room) - 1
+    sums = [1]
+    for s in sizes:
+        sums.append((sums[-1] | sums[-1] << s) & below)
+    left, taken = sums[-1].bit_length() - 1, []
+    for i in range(len(sizes) - 1, -1, -1):
+        if not sums[i] >> left & 1:
+            taken.append(i)
+            left -= sizes[i]
+    return taken[::-1]
 
 
 def _pack(batches: Iterable[pa.RecordBatch], capacity: int, window: int) -> Iterator[pa.RecordBatch]:
-    """Pack one sorted range; the held rows are at most a window."""
-    packer = Packer(capacity, TaskContext.get().partitionId() << 32)
-    key_type = None
-    held: list[tuple[int, object]] = []
+    """Pack one sorted range, a container at a time: the first text that waits, and what fills it best of the next ones along the curve.
 
-    def flush() -> pa.RecordBatch:
-        rows: list[tuple[int, object, int, int, int]] = []
-        parts: list[tuple[int, object, int]] = []
-        for n, k in held:
-            whole, rest = divmod(n, capacity) if n > capacity else (0, n)
-            for piece in range(whole):
-                rows.append((packer.fresh(), k, piece, piece * capacity, capacity))
-            if rest or not whole:
-                parts.append((rest, k, whole))
-        held.clear()
-        parts.sort(key=lambda p: -p[0])
-        for size, k, piece in parts:
-            rows.append((packer.place(size), k, piece, piece * capacity, size))
-        box, k, piece, at, size = zip(*rows)
+    At most ``window`` texts wait, so a container holds neighbours only and is closed before the curve moves on.
+    """
+    box = TaskContext.get().partitionId() << 32
+    key_type = None
+    waiting: list[tuple[int, object, int]] = []
+    rows: list[tuple[int, object, int, int, int]] = []
+
+    def close() -> None:
+        nonlocal box
+        chosen = [0] + [i + 1 for i in fullest([n for n, _, _ in waiting[1:]], capacity - waiting[0][0])]
+        for i in chosen:
+            n, k, piece = waiting[i]
+            rows.append((box, k, piece, piece * capacity, n))
+        for i in reversed(chosen):
+            del waiting[i]
+        box += 1
+
+    def packed() -> pa.RecordBatch:
         types = (pa.int64(), key_type, pa.int32(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((box, k, piece, at, size), types)], ["box", "k", "piece", "at", "n"])
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["box", "k", "piece", "at", "n"])
+        rows.clear()
+        return out
 
     for batch in batches:
         key_type = batch.schema.field(0).type
         for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held.append((n, k))
-            if len(held) >= window:
-                yield flush()
-    if held:
-        yield flush()
+            whole, rest = divmod(n, capacity) if n > capacity else (0, n)
+            for piece in range(whole):
+                rows.append((box, k, piece, piece * capacity, capacity))
+                box += 1
+            if rest or not whole:
+                waiting.append((rest, k, whole))
+            if len(waiting) > window:
+                close()
+        if rows:
+            yield packed()
+    waiting.sort(key=lambda w: -w[0])  # of the last ones the largest first, as nothing follows to fill up with
+    while waiting:
+        close()
+    if rows:
+        yield packed()
 
 
 def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, window: int = WINDOW) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,22 @@ def test_packing_places_everything_once(spark):
         assert len(v) == 1 or sizes[i] > 256
     assert len(boxes) <= sum(sizes.values()) / 256 + 3
     assert packing.pack_texts(df.limit(0)).count() == 0
+
+
+def test_containers_are_full_and_hold_neighbours(spark):
+    rng = random.Random(11)
+    n = 4000
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array(range(i, i + 500)), "n": pa.array([min(1024, int(rng.lognormvariate(5.2, 0.9)) + 5) for _ in range(500)])}) for i in range(0, n, 500)]
+    boxes, held = {}, {}
+    df = spark.createDataFrame(pa.Table.from_batches(batches).to_pandas()).coalesce(1).sortWithinPartitions("k")
+    for r in df.mapInArrow(lambda it: packing._pack(it, 1024, packing.WINDOW), "box bigint, k bigint, piece int, at bigint, n int").collect():
+        boxes.setdefault(r.box, []).append(r.k)
+        held[r.box] = held.get(r.box, 0) + r.n
+    assert sorted(k for ks in boxes.values() for k in ks) == list(range(n)) and max(held.values()) <= 1024
+    assert sum(held.values()) / (1024 * len(held)) >= 0.98
+    spans = sorted(max(ks) - min(ks) for ks in boxes.values())
+    assert spans[len(spans) // 2] <= 0.02 * n
+
+
+def test_fullest_takes_first_of_equal_choices():
+    assert packing.fullest([3, 5, 5, 2], 8) == [0, 1] and packing.fullest([], 4) == [] and packing.fullest([9], 4) == [] and packing.fullest([0, 4], 4) == [1]
