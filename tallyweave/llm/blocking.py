@@ -62,12 +62,12 @@ def whole_pairs(rows: DataFrame, key: str, fields: Sequence[str], most: int = MO
     return pairs.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
-def parted_pairs(rows: DataFrame, key: str, part: Sequence[str], fields: Sequence[str], most: int = MOST_IN_BLOCK) -> DataFrame:
+def parted_pairs(rows: DataFrame, key: str, part: Sequence[str], fields: Sequence[str], most: int = MOST_IN_BLOCK, fits: str = "true") -> DataFrame:
     """``a, b`` structs of ``fields`` for pairs of rows with the same ``key``; ``part`` and the first of ``fields`` are columns.
 
     Keys of at most ``most`` rows give every pair. The rows of others give every pair
     within the same ``part`` values (null being a value), and one row of each such part
-    meets those of all other parts of the key.
+    meets those of all other parts of the key that it ``fits``.
     """
     some = rows.where(F.col(key).isNotNull())
     frequent = sendable(heavy(some, key, most))
@@ -77,7 +77,7 @@ def parted_pairs(rows: DataFrame, key: str, part: Sequence[str], fields: Sequenc
     often = some.join(frequent, key, "left_semi").withColumn("_part", F.concat_ws("|", key, *[F.coalesce(F.col(p).cast("string"), F.lit("?")) for p in part]))
     heads = often.groupBy(key, *part).agg(F.min(F.struct(*fields)).alias("_r")).select(key, F.col("_r"))
     met = whole_pairs(heads.select(F.col(key).alias("_of"), "_r.*"), "_of", fields, most)
-    return rare.unionByName(whole_pairs(often, "_part", fields, most)).unionByName(met)
+    return rare.unionByName(whole_pairs(often, "_part", fields, most)).unionByName(met.where(fits))
 
 
 def block_pairs(rows: DataFrame, key: str, fields: Sequence[str], finer: Column | None = None, most: int = MOST_IN_BLOCK) -> DataFrame:
