@@ -5,11 +5,14 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SECONDS_BETWEEN_COLLECTIONS = 15.0
+_collected = [0.0]
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -66,7 +69,8 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` wrote and that nothing reads any more.
 
-    Call it once their successor is written. Shuffle files whose plans are gone go with them.
+    Call it once their successor is written. Now and then shuffle files whose plans
+    are gone go with them, as the driver collects its garbage.
     """
     paths = [t.__dict__.pop("_cut_path", None) for t in tables]
     for path, table in zip(paths, tables):
@@ -74,7 +78,8 @@ def drop(*tables: DataFrame) -> None:
             jvm = table.sparkSession.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    if any(paths):
+    if any(paths) and time.monotonic() - _collected[0] > SECONDS_BETWEEN_COLLECTIONS:
+        _collected[0] = time.monotonic()
         gc.collect()
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
