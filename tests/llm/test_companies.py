@@ -211,3 +211,13 @@ def test_large_blocks_dealt_into_parts_give_the_same_pairs(spark):
     df = spark.createDataFrame(rows, "sid long, w1 string, w2 string")
     pairs = [{(r.s, r.t, round(r.like, 6)) for r in spelled.like_spellings(df, 0.68, most).collect()} for most in (4096, 5)]
     assert pairs[0] == pairs[1] and len(pairs[0]) > 100
+
+
+def test_a_line_on_many_records_of_one_firm_gives_every_pair(spark):
+    line, shared = "290-215-0100", "291-215-0100"
+    data = [(f"A{k}", "reg", "Brunovale Kestirham Fire Alarm", None, "IL", f"6010{k}", line, None) for k in range(5)]
+    data += [("B1", "web", "Name Not Provided", None, "IL", None, line, None), ("B2", "lic", "Vintaywick Brunovale Alarm", None, "IL", None, line, None)]
+    data += [(f"C{k}", "reg", f"{core} Fire Alarm", None, "IL", None, shared, None) for k, core in enumerate(CORES[1:6])]
+    pairs = {(r.a, r.b) for r in matching.candidates(matching.prepared(spark.createDataFrame(data, SCHEMA)), 3).collect()}
+    firm = sorted(r[0] for r in data if r[6] == line)
+    assert pairs == {(a, b) for i, a in enumerate(firm) for b in firm[i + 1 :]}
