@@ -221,3 +221,12 @@ def test_a_line_on_many_records_of_one_firm_gives_every_pair(spark):
     pairs = {(r.a, r.b) for r in matching.candidates(matching.prepared(spark.createDataFrame(data, SCHEMA)), 3).collect()}
     firm = sorted(r[0] for r in data if r[6] == line)
     assert pairs == {(a, b) for i, a in enumerate(firm) for b in firm[i + 1 :]}
+
+
+def test_a_site_on_many_records_of_one_firm_links_spellings(spark):
+    # a spelling of likeness 0.56 needs the site, which more records than ``most`` state
+    data = [(f"A{k}", "reg", "Brunovale Kestirham Fire Alarm", None, "IL", None, None, "a.example") for k in range(5)]
+    data += [("A5", "lic", "Brunovale Kestwolom Fire Alarm", None, "IL", None, None, "a.example")]
+    data += [(f"B{k}", "reg", f"{w} Fire Alarm", None, "IL", None, None, "b.example") for k, w in enumerate(("Crelotoft Quinaspole", "Crelotoft Quinexbult", "Ruddaylock Gildensett", "Farlowmere Nystumkirk", "Oxenagrave Pralimmont"))]
+    linked = entities_of(link_spellings(spark.createDataFrame(data, SCHEMA), spark.createDataFrame([], Q_SCHEMA), 3))
+    assert linked == [[f"A{k}" for k in range(6)], *[[f"B{k}"] for k in range(5)]]
