@@ -130,3 +130,30 @@ def test_ledger_rules(spark):
         lineage.require_clean(problems)
     assert lineage.latest(led, "name").first().value == "Acme"
     assert lineage.spans(led).first().last_claim == "C1.03"
+
+
+def test_lookup_gives_the_best_of_all_pairs_without_writing_them(spark, monkeypatch):
+    from itertools import product
+
+    from tallyweave.functions.similarity import best_name_score
+    from tallyweave.spec import Database, Linkage, Visibility
+
+    written = []
+    monkeypatch.setattr(visibility, "cut", lambda df, *_: written.append(df.count()) or df, raising=False)
+    starts, ends = ("bruno", "zando", "morgi", "hesto", "crelo"), ("vale", "fell", "stead", "burn", "toft")
+    words = [a + b for a, b in product(starts, ends)]
+    long = "doing business as " + " ".join(words[:9])
+    rows = [(f"C{i:02}", f"C{i}", "IL" if i % 7 else "OH", [f"{w} {words[-1 - i]} fire alarm", f"{w} alarm"]) for i, w in enumerate(words)] + [("C90", "long", "IL", [long, "alarm"]), ("C91", "none", None, ["x"]), ("C92", "empty", "IL", [])]
+    listings = [(f"d{i % 2}", f"L{i:02}", f"{w} {words[(3 * i) % 25]} {'fire ' * (i % 3)}alarm", "il") for i, w in enumerate(words)] + [("d0", "L90", long + " fire", "IL"), ("d1", "L05b", "morgifell alarm", "IL"), ("d1", "L05a", "morgifell alarm", "IL"), ("d1", "L99", None, "IL")]
+    spec = Visibility(databases=(Database("d0", "x", 0.5), Database("d1", "x", 0.5)))
+    c = spark.createDataFrame(rows, "company_id string, display_name string, state string, variants array<string>")
+    listed = spark.createDataFrame(listings, "database string, listing_id string, name string, state string")
+    names = Linkage(generic=("fire", "alarm"))
+    got = {(r.company_id, r.database): (r.found, r.score, r.listing_id) for r in visibility.lookup(c, listed, names, spec, 7, 5).collect()}
+    want = {}
+    for (cid, _, state, variants), d in product(rows, ("d0", "d1")):
+        found = [(-s, variants.index(a), lid) for base, lid, n, st in listings if base == d and n and st.upper() == state for s, a, _ in [best_name_score(variants, [n], frozenset(names.generic), names.slack)] if s > 0]
+        s, _, lid = min(found, default=(0.0, 0, None))
+        want[cid, d] = (-s >= spec.match_at, pytest.approx(-s, abs=0.051), lid if -s >= spec.match_at else None)
+    assert got == want and not any(n > 2 * len(rows) for n in written)
+    assert got["C90", "d0"][2] == "L90" and sum(f for f, *_ in got.values()) > 5
