@@ -1,9 +1,10 @@
 """Matching of records and linking of spellings."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tallyweave.llm import matching, names
+from tallyweave.llm import matching, names, spelled
 from tallyweave.llm.blocking import whole_pairs
 from tallyweave.llm.variants import found_variants, link_spellings
 
@@ -230,3 +231,49 @@ def test_a_site_on_many_records_of_one_firm_links_spellings(spark):
     data += [(f"B{k}", "reg", f"{w} Fire Alarm", None, "IL", None, None, "b.example") for k, w in enumerate(("Crelotoft Quinaspole", "Crelotoft Quinexbult", "Ruddaylock Gildensett", "Farlowmere Nystumkirk", "Oxenagrave Pralimmont"))]
     linked = entities_of(link_spellings(spark.createDataFrame(data, SCHEMA), spark.createDataFrame([], Q_SCHEMA), 3))
     assert linked == [[f"A{k}" for k in range(6)], *[[f"B{k}"] for k in range(5)]]
+
+
+def test_components_settled_in_a_task_agree_with_joins(spark):
+    rng = np.random.default_rng(5)
+    full = rng.random(240) < 0.6
+    rows = []
+    for g in range(0, 240, 6):
+        for a in range(g, g + 6):
+            for b in range(a + 1, g + 6):
+                if rng.random() < 0.7:
+                    rows.append((a, b, int(rng.integers(9)), float(rng.choice([0.97, 0.9, 0.8, 0.6, 0.4, 0.2, 0.02])), bool(full[a]), bool(full[b])))
+    scored = spark.createDataFrame(rows, "a long, b long, v int, p double, fa boolean, fb boolean")
+
+    def told(labels, corrections):
+        return sorted(map(tuple, labels.collect())), sorted((r.a, r.b, r.v, round(r.p, 9), round(r.q, 6)) for r in corrections.collect())
+
+    expected = told(*matching.transitive(scored))
+    assert expected[1]
+    assert told(*matching.settle(scored)) == expected
+    assert told(*matching.settle(scored, most=8)) == expected
+
+
+def test_a_changed_letter_touches_two_letter_bits():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdeimnorst"), rng.integers(4, 14))) for _ in range(400)]
+    typed = [w[:i] + x + w[i + k :] for w, i, x, k in zip(words, rng.integers(0, 4, 400), rng.choice(["", "a", "e", "t"], 400), rng.integers(0, 2, 400))]
+    bits = [spelled._letters(spelled.letter_counts(pa.array(ws))) for ws in (words, typed)]
+    apart = np.bitwise_count(bits[0] ^ bits[1])
+    assert (apart <= 2 * spelled.changes(pa.array(words), pa.array(typed))).all()
+
+
+def test_words_of_a_block_compared_once_lose_no_spelling():
+    rng = np.random.default_rng(4)
+    typo = lambda w: w[:3] + rng.choice(list("aeo")) + w[4:] if rng.random() < 0.4 else w
+    ends = ["".join(rng.choice(list("abdeilmnorst"), 6)) for _ in range(40)]
+    m = [typo(ends[rng.integers(40)]) + "stone" for _ in range(700)]
+    o = [typo(ends[rng.integers(8)]) + "wick" for _ in range(700)]
+    keyed = next(spelled._keyed([pa.RecordBatch.from_arrays([pa.array(["-"] * 700), pa.array(m), pa.array(o)], ["label", "w1", "w2"])]))
+    rows = keyed.set_column(0, "key", keyed["key"].dictionary_encode().indices.cast(pa.int64())).append_column("side", pa.array(np.zeros(keyed.num_rows, np.int8)))
+    blocks = rows.select(["key", "side", "m", "o"]).sort_by("key")
+    found = {tuple(sorted([tuple(sorted([r["xm"], r["xo"]])), tuple(sorted([r["ym"], r["yo"]]))])) for batch in spelled._pairs(blocks, matching.LIKE) for r in batch.to_pylist()}
+    left, right = np.triu_indices(700, 1)
+    like = spelled._likeness(*(pa.array(np.array(w)[i]) for i in (left, right) for w in (m, o)), matching.LIKE)
+    assert len(found) > 500
+    assert found == {tuple(sorted([tuple(sorted([m[i], o[i]])), tuple(sorted([m[j], o[j]]))])) for i, j in zip(left[like >= matching.LIKE], right[like >= matching.LIKE])}
+    assert len(list(spelled._close(np.zeros(5, np.uint64), np.zeros(5, np.uint64), np.zeros(5, np.uint8), np.zeros(5, np.uint8), True))[0][0]) == 15
