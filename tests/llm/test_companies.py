@@ -277,3 +277,17 @@ def test_words_of_a_block_compared_once_lose_no_spelling():
     assert len(found) > 500
     assert found == {tuple(sorted([tuple(sorted([m[i], o[i]])), tuple(sorted([m[j], o[j]]))])) for i, j in zip(left[like >= matching.LIKE], right[like >= matching.LIKE])}
     assert len(list(spelled._close(np.zeros(5, np.uint64), np.zeros(5, np.uint64), np.zeros(5, np.uint8), np.zeros(5, np.uint8), True))[0][0]) == 15
+
+
+def test_a_like_pair_is_measured_where_it_first_meets_and_only_crowded_labels_are_counted(spark):
+    """Words of eight letters give three starts and ends: one block of each word measures the pair, not six."""
+    pair = [("brunovel", "kestirha"), ("brunovel", "kestirhb")]
+    keyed = [(k, 0, m, o, mark) for a, b in pair for k, m, o, mark in spelled.meeting_keys(a, b)]
+    keyed.sort(key=lambda r: (r[0], r[1], r[4]))
+    number = {k: i for i, k in enumerate(dict.fromkeys(r[0] for r in keyed))}
+    kinds = (pa.int64(), pa.int8(), pa.string(), pa.string(), pa.int8())
+    rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(number[k], s, m, o, x) for k, s, m, o, x in keyed]), kinds)], ["key", "side", "m", "o", "mark"])
+    found = [r for batch in spelled._pairs(rows, matching.LIKE) for r in batch.to_pylist()]
+    assert len(found) == 2 and {frozenset((r["xm"], r["ym"])) for r in found} == {frozenset(("brunovel",)), frozenset(("kestirha", "kestirhb"))}
+    told = spark.createDataFrame([("IL", chr(97 + i % 13) + "alumet", chr(97 + i // 13) + "orwen") for i in range(100)], "label string, w1 string, w2 string")
+    assert spelled._crowded(told, {"IL": 100}, 150) == [] and spelled._crowded(told, {"IL": 100}, 99) == ["IL"]
